@@ -64,10 +64,10 @@ def match_source(first: Column | str, second: Column | str, names: tuple[str, st
 
 def route_label(ordinal: Column | str, prefix: str = ROUTE_PREFIX) -> Column:
     """A for 1 ... Z for 26, then AA, AB ... as spreadsheets count."""
-    rest = _col(ordinal).cast("long")
-    letters = F.lit("")
-    for _ in range(7):  # 26 ** 7 routes is beyond any subject count
-        digit = F.pmod(rest - 1, F.lit(26))
-        letters = F.concat(F.when(rest > 0, F.char(digit + 65)).otherwise(""), letters)
-        rest = F.when(rest > 0, ((rest - 1 - digit) / 26).cast("long")).otherwise(F.lit(0))
-    return F.concat(F.lit(prefix), letters)
+    n = _col(ordinal).cast("long")
+    letters = []
+    for place in reversed(range(7)):  # 26 ** 7 routes is beyond any subject count
+        smallest = sum(26**i for i in range(place + 1))  # first number with a letter here
+        digit = F.floor((n - smallest) / F.lit(26**place)) % 26
+        letters.append(F.when(n >= smallest, F.char(digit + 65)).otherwise(""))
+    return F.concat(F.lit(prefix), *letters)
