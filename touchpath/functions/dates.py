@@ -15,23 +15,33 @@ def _text(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 
 
+def _full(day: Column, sep: str) -> Column:
+    """A separator after the month: the text is more than a year or a year and month."""
+    return F.locate(sep, day, 6) > 0
+
+
 def local_date(col: Column | str) -> Column:
     """Date as written, whatever time or offset follows it.
 
     ``2026-06-07 23:30:00.000 -0600`` is 7 June: the first ten characters
     already are the local date, and reading the offset would move evening
     touches to the next day. Shortened dates (year, year-month) are rejected.
+    The common spelling is tried first; rows that parse pay for nothing else.
     """
-    text = F.translate(F.substring(_text(col), 1, 19), "/", "-")
-    day = F.substring(text, 1, 10).try_cast("date")
-    moment = text.try_cast("timestamp_ntz").cast("date")
-    return F.when(F.locate("-", text, 6) > 0, F.coalesce(day, moment))
+    text = _text(col)
+    day = F.substring(text, 1, 10)
+    moment = F.substring(text, 1, 19).try_cast("timestamp_ntz").cast("date")
+    return F.when(_full(day, "-"), F.coalesce(day.try_cast("date"), moment)).when(
+        _full(day, "/"), F.replace(day, F.lit("/"), F.lit("-")).try_cast("date")
+    )
 
 
 def plain_date(col: Column | str) -> Column:
     """The whole text read as a date; anything but a full date gives NULL."""
-    text = F.translate(_text(col), "/", "-")
-    return F.when(F.locate("-", text, 6) > 0, text.try_cast("date"))
+    text = _text(col)
+    return F.when(_full(text, "-"), text.try_cast("date")).when(
+        _full(text, "/"), F.replace(text, F.lit("/"), F.lit("-")).try_cast("date")
+    )
 
 
 def days_between(start: Column | str, end: Column | str) -> Column:

@@ -23,8 +23,22 @@ EVENTS = JourneyConfig(WAVES, last_touch_days=3, priority={"view": 1, "click": 2
 ORDERS = JourneyConfig(WAVES, last_touch_days=30, priority={"r": 1, "a": 2})
 
 
+#: Columns of the given tables the journeys read; declared, so no job has to look for them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, "
+    "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _wave(ts: str, split: str) -> Column:
@@ -85,7 +99,7 @@ def raw_order_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
         _wave("l_shipdate", "1998-07-01"),
         _phone("l_orderkey").alias("msisdn"),
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("cuenta_id"),
-        _offset_text("l_shipdate").alias("fecha_envio"),
+        F.concat(F.to_date("l_shipdate").cast("string"), F.lit(" 00:00:00.000 -0600")).alias("fecha_envio"),
         F.concat(F.col("l_returnflag"), F.lit(" ")).alias("canal"),
         F.concat(F.lit("Stage "), F.col("l_linestatus")).alias("canvas_step_nm"),
         F.concat(F.lit("Line "), F.col("l_linenumber")).alias("canvas_variation_nm"),
