@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from touchpath import constants as K
 from touchpath.functions import channel_priority, days_between
+from touchpath.operators.skew import lookup_join
 from touchpath.operators.windows import SUBJECT_KEY
 
 DAY_KEY = (*SUBJECT_KEY, K.TOUCH_DATE)
@@ -150,10 +151,10 @@ def attribution_detail(owners: DataFrame, tie_count: str = "touches") -> DataFra
 def attribution_per_record(owners: DataFrame, conversions: DataFrame) -> DataFrame:
     """One row per conversion *record*: records sharing a day keep their own attributes.
 
-    The owner side has one row per key; AQE splits a key that many records share.
+    The owner side has one row per key; a key that many records share is split.
     """
     winners = attribution_detail(owners).drop(*K.CONVERSION_ATTRS)
-    return conversions.join(winners, list(CONVERSION_KEY)).select(*DETAIL_COLUMNS)
+    return lookup_join(conversions, winners, CONVERSION_KEY).select(*DETAIL_COLUMNS)
 
 
 def owning_windows(owners: DataFrame, windows: DataFrame) -> DataFrame:
@@ -165,14 +166,14 @@ def owning_windows(owners: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def unattributed(conversions: DataFrame, attribution: DataFrame) -> DataFrame:
-    """Conversion records no touch may claim: the baseline."""
-    return conversions.join(attribution.select(*CONVERSION_KEY), list(CONVERSION_KEY), "left_anti")
+    """Conversion records no touch may claim: the baseline (``attribution`` has one row per day)."""
+    return lookup_join(conversions, attribution.select(*CONVERSION_KEY), CONVERSION_KEY, "left_anti")
 
 
 def reached_conversions(conversions: DataFrame, touches: DataFrame) -> DataFrame:
     """Conversion records of subjects that were touched at any time."""
     subjects = touches.select(*SUBJECT_KEY).distinct()
-    return conversions.join(subjects, list(SUBJECT_KEY), "left_semi")
+    return lookup_join(conversions, subjects, SUBJECT_KEY, "left_semi")
 
 
 def out_of_window(conversions: DataFrame, touches: DataFrame, attribution: DataFrame) -> DataFrame:

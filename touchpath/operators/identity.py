@@ -2,9 +2,8 @@
 
 All key columns of a snapshot are melted into one dictionary (one scan, one
 shuffle), so a lookup by several keys is one join. Everything that only needs
-distinct accounts is reduced to them first; only the row-level export joins
-raw rows, as its last step, where AQE is free to split an account that owns a
-large share of the rows.
+distinct accounts is reduced to them first; operators that keep every row split
+an account that owns a large share of them.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from touchpath import constants as K
 from touchpath.functions import match_source, round_half
+from touchpath.operators.skew import lookup_join
 
 USER = "external_user_id"
 
@@ -68,15 +68,19 @@ def resolve(
     lookup = dictionary.select(F.col("user_key").alias(user), subject.alias(K.SUBJECT)).where(
         F.col(K.SUBJECT).isNotNull()
     )
-    return events.join(lookup, user, how)
+    row_id = [c for c in ("event_id",) if c in events.columns]
+    return lookup_join(events, lookup, [user], how, spread_by=row_id)
 
 
 def resolve_touches(
     touches: DataFrame, dictionary: DataFrame, order: Sequence[str], user: str = USER
 ) -> DataFrame:
     """Distinct resolved touches. Re-sends collapse *before* the join, hot accounts with them."""
+    subject = F.coalesce(*[F.col(f"msisdn_por_{key}") for key in order]).alias(K.SUBJECT)
+    lookup = dictionary.select(F.col("user_key").alias(user), subject).dropna()
     return (
-        resolve(touches.distinct(), dictionary, order, "inner", user)
+        touches.distinct()
+        .join(lookup, user)
         .withColumnRenamed(user, K.ACCOUNT)
         .select(K.SUBJECT, K.ACCOUNT, K.TOUCH_DATE, K.CHANNEL, K.STEP, K.VARIATION, K.CAMPAIGN)
     )
@@ -89,7 +93,7 @@ def resolve_by_channel(
     """Touches resolved by the one key their channel's accounts belong to (no fall-back)."""
     subject = _subject_of_channel(key_of_channel, default_key)
     return (
-        touches.join(dictionary.withColumnRenamed("user_key", user), user)
+        lookup_join(touches, dictionary.withColumnRenamed("user_key", user), [user])
         .withColumn(K.SUBJECT, subject)
         .where(F.col(K.SUBJECT).isNotNull())
         .withColumnRenamed(user, K.ACCOUNT)

@@ -123,7 +123,8 @@ def route_exclusives(report: DataFrame) -> DataFrame:
         .agg(F.collect_set("paso").alias("propios"))
     )
     own = F.filter(steps, lambda s: F.array_contains("propios", s))
-    text = F.coalesce(F.array_join(own, K.EXCLUSIVE_SEPARATOR), F.lit(K.NO_EXCLUSIVE_STEPS))
+    named = F.nullif(F.array_join(own, K.EXCLUSIVE_SEPARATOR), F.lit(""))
+    text = F.coalesce(named, F.lit(K.NO_EXCLUSIVE_STEPS))
     return report.join(once, list(ROUTE), "left").select(
         K.WAVE, "ruta", "ruta_key", "msisdn_impactados", text.alias("pasos_propios"),
         "msisdn_convertidos", "tasa_pct",

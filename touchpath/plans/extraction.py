@@ -47,7 +47,8 @@ def export_events(
     """Every event of the rolling range with its subject; unmatched events keep NULL.
 
     Three snapshots stand for the range. Range and snapshots are literals, so
-    both scans prune partitions. The one join is the last step.
+    both scans prune partitions. The one join keeps every row, so it splits heavy
+    accounts.
     """
     since, until = rolling_range(days, as_of)
     events = union_channels(spark, sources, since, until, instance, campaigns)

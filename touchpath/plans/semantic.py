@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from touchpath import constants as K
 from touchpath.functions import days_between, ratio, weekday_label, weekday_number
+from touchpath.operators.skew import lookup_join
 from touchpath.plans.reports import step_order
 
 
@@ -139,7 +140,7 @@ def cumulative(evaluated: DataFrame, measure: str, axis: str) -> DataFrame:
 
 def filter_by_axis(df: DataFrame, selected: DataFrame, axes: Sequence[str]) -> DataFrame:
     """Rows of one fact whose axis values occur in another, unrelated fact."""
-    return df.join(selected.select(*axes).distinct(), list(axes), "left_semi")
+    return lookup_join(df, selected.select(*axes).distinct(), axes, "left_semi")
 
 
 def calendar(touches: DataFrame, conversions: DataFrame) -> DataFrame:
