@@ -16,8 +16,13 @@ def values(spark, column, inputs, type_="string"):
 
 
 def test_subject_key_keeps_last_eight_digits(spark):
-    raw = ["050200000001", "+502 0000-0001", "50200000001.0", "123", "", None]
-    assert values(spark, fn.subject_key("x"), raw) == ["00000001", "00000001", "00000010", "123", "", None]
+    raw = [
+        "050200000001", "50200000001", "+502 0000-0001", "+50200000001", "-50200000001", " 50200000001", "50200000001 ",
+        "50200000001\t", "\u00a050200000001", "12345678901234567890123450200000001",
+    ]
+    assert values(spark, fn.subject_key("x"), raw) == ["00000001"] * len(raw)
+    odd = ["50200000001.0", "5e7", "123", "", None, "ext. 12"]
+    assert values(spark, fn.subject_key("x"), odd) == ["00000010", "57", "123", "", None, "12"]
 
 
 def test_suffix_key_keeps_punctuation(spark):

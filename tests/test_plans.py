@@ -43,7 +43,7 @@ def test_no_cartesian_or_nested_loop_anywhere(spark, journey):
     j = journey
     frames = [
         j.windows, j.attribution, j.period, P.step_report(j.touches, j.attribution),
-        P.day_channel_report(j.touches, j.attribution), P.kpi_report(j.touches, j.attribution, j.conversions),
+        P.day_channel_report(j.touches, j.attribution), P.kpi_report(j.touches, j.owners),
         P.cumulative_by_relative_day(j.touches, j.attribution), CO.composition(j.attribution, j.conversions),
         Q.quality_report(j.touches, j.conversions, j.owners),
         CO.with_support(CO.composition(j.attribution, j.conversions)),

@@ -37,7 +37,7 @@ def totals(df, column):
 
 def test_invariants_between_reports(journey):
     j = journey
-    kpi = {r.wave: r for r in P.kpi_report(j.touches, j.attribution, j.conversions).collect()}
+    kpi = {r.wave: r for r in P.kpi_report(j.touches, j.owners).collect()}
     step = P.step_report(j.touches, j.attribution)
     assert totals(step, "msisdn_impactados") == {w: k.envios for w, k in kpi.items()}
     credited = j.attribution.groupBy(K.WAVE, K.STEP, K.CHANNEL, K.SUBJECT).count().groupBy(K.WAVE).count()
@@ -93,7 +93,7 @@ def test_waves_share_the_category_list(journey):
     assert top.count() == 6 and top.where("conv_atribuidas is null").isEmpty()
     dense = C.dense_by_wave(P.channel_share(journey.attribution), ("a", "b", "empty"), [K.CHANNEL], ["conv", "pct"])
     assert dense.where("wave = 'empty' and conv <> 0").isEmpty() and dense.where("wave = 'empty'").count() >= 1
-    rates = C.compare_rates(P.kpi_report(journey.touches, journey.attribution, journey.conversions), "a", "b").first()
+    rates = C.compare_rates(P.kpi_report(journey.touches, journey.owners), "a", "b").first()
     assert rates.brecha_pp == pytest.approx(rates.tasa_a - rates.tasa_b, abs=0.005)
 
 

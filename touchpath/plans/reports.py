@@ -66,26 +66,28 @@ def day_channel_report(touches: DataFrame, attribution: DataFrame) -> DataFrame:
     )
 
 
-def step_order(touches: DataFrame) -> DataFrame:
-    """Steps in the order they first went out, with the day counted from the wave's first touch.
+def _ordered(first_days: DataFrame, first: str = "primera_fecha") -> DataFrame:
+    """Step order over rows that already are aggregates of a step (a few per step and wave)."""
+    wave = Window.partitionBy(K.WAVE)
+    return (
+        first_days.withColumn(first, F.min(first).over(Window.partitionBy(K.WAVE, K.STEP)))
+        .withColumn("dia_cero", F.min(first).over(wave))
+        .withColumn("paso_idx", F.dense_rank().over(wave.orderBy(first, K.STEP)))
+        .withColumn("dia_rel", days_between("dia_cero", first))
+    )
 
-    Windows run over one row per step, not over touches.
-    """
+
+def step_order(touches: DataFrame) -> DataFrame:
+    """Steps in the order they first went out, with the day counted from the wave's first touch."""
     first = touches.groupBy(K.WAVE, K.STEP).agg(F.min(K.TOUCH_DATE).alias("primera_fecha"))
-    wave = Window.partitionBy(K.WAVE)
-    return first.select(
-        K.WAVE,
-        K.STEP,
-        "primera_fecha",
-        F.min("primera_fecha").over(wave).alias("dia_cero"),
-        F.dense_rank().over(wave.orderBy("primera_fecha", K.STEP)).alias("paso_idx"),
-    ).withColumn("dia_rel", days_between("dia_cero", "primera_fecha"))
+    return _ordered(first).select(K.WAVE, K.STEP, "primera_fecha", "dia_cero", "paso_idx", "dia_rel")
 
 
 def step_report(touches: DataFrame, attribution: DataFrame) -> DataFrame:
-    """Per step and channel, in journey order."""
-    report = reach_and_conversion(touches, attribution, [K.STEP, K.CHANNEL], (), [_mean_days()])
-    return report.join(step_order(touches), [K.WAVE, K.STEP]).select(
+    """Per step and channel, in journey order. Reach and order come from one pass over the touches."""
+    first = F.min(K.TOUCH_DATE).alias("primera_fecha")
+    report = reach_and_conversion(touches, attribution, [K.STEP, K.CHANNEL], [first], [_mean_days()])
+    return _ordered(report).select(
         K.WAVE, "paso_idx", K.STEP, K.CHANNEL, "primera_fecha", "dia_rel", "msisdn_impactados",
         "msisdn_convertidos", "tasa_pct", MEAN_DAYS,
     )
@@ -94,12 +96,21 @@ def step_report(touches: DataFrame, attribution: DataFrame) -> DataFrame:
 def step_variation_report(
     touches: DataFrame, attribution: DataFrame, ordered_by: DataFrame | None = None
 ) -> DataFrame:
-    """Per step, variation and channel; ``ordered_by`` are the touches that define the step order."""
+    """Per step, variation and channel.
+
+    ``ordered_by`` are the touches that define the step order when the report
+    covers only part of them.
+    """
+    first = F.min(K.TOUCH_DATE).alias("primera_fecha")
     report = reach_and_conversion(
-        touches, attribution, [K.STEP, K.VARIATION, K.CHANNEL], (), [_mean_days()]
+        touches, attribution, [K.STEP, K.VARIATION, K.CHANNEL], [first], [_mean_days()]
     )
-    order = step_order(touches if ordered_by is None else ordered_by)
-    return report.join(order, [K.WAVE, K.STEP]).select(
+    if ordered_by is None:
+        report = _ordered(report)
+    else:
+        order = step_order(ordered_by).select(K.WAVE, K.STEP, "primera_fecha", "paso_idx")
+        report = report.drop("primera_fecha").join(order, [K.WAVE, K.STEP])
+    return report.select(
         K.WAVE, K.STEP, K.VARIATION, K.CHANNEL, "paso_idx", "primera_fecha", "msisdn_impactados",
         "msisdn_convertidos", "tasa_pct", MEAN_DAYS,
     )
@@ -221,11 +232,12 @@ def cumulative_by_relative_day(touches: DataFrame, attribution: DataFrame) -> Da
     )
 
 
-def kpi_report(touches: DataFrame, attribution: DataFrame, conversions: DataFrame) -> DataFrame:
+def kpi_report(touches: DataFrame, owners: DataFrame) -> DataFrame:
     """One row per wave: volumes, rate (subjects), share (conversions), latency, steps.
 
     Touches are first reduced to subject and step, so the two exact distincts
-    expand those rows and not the log.
+    expand those rows and not the log. ``owners`` holds attributed and other
+    conversion days alike, so credit and base come from one pass over it.
     """
     reach = (
         touches.groupBy(K.WAVE, K.SUBJECT, K.STEP)
@@ -237,18 +249,28 @@ def kpi_report(touches: DataFrame, attribution: DataFrame, conversions: DataFram
             F.countDistinct(K.STEP).alias("pasos"),
         )
     )
-    credit = attribution.groupBy(K.WAVE).agg(
-        F.count("*").alias("conversiones"),
-        F.countDistinct(K.SUBJECT).alias("convertidos"),
-        F.median("dias_al_convertir").alias("lat_med"),
-        round_half(F.avg("dias_al_convertir"), 1).alias("dias_prom"),
-        round_half(F.avg("toques_previos"), 1).alias("toques_prom"),
+    touched = F.col(f"toque.{K.TOUCH_DATE}")
+    credit = (
+        owners.select(
+            K.WAVE,
+            "variantes",
+            "toques_previos",
+            F.when(touched.isNotNull(), F.col(K.SUBJECT)).alias("convertido"),
+            days_between(touched, K.CONV_DATE).alias("dias"),
+        )
+        .groupBy(K.WAVE)
+        .agg(
+            F.count("dias").alias("conversiones"),
+            F.countDistinct("convertido").alias("convertidos"),
+            F.sum("variantes").alias("reno_periodo"),
+            F.median("dias").alias("lat_med"),
+            round_half(F.avg("dias"), 1).alias("dias_prom"),
+            round_half(F.avg("toques_previos"), 1).alias("toques_prom"),
+        )
     )
-    base = conversions.groupBy(K.WAVE).agg(F.count("*").alias("reno_periodo"))
     zero = F.lit(0)
     return (
         reach.join(credit, K.WAVE, "left")
-        .join(base, K.WAVE, "left")
         .select(
             K.WAVE,
             "impactados",

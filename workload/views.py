@@ -46,7 +46,7 @@ def _wave(ts: str, split: str) -> Column:
 
 
 def _phone(col: str) -> Column:
-    return F.concat(F.lit("502"), F.lpad(F.col(col).cast("string"), 8, "0"))
+    return (F.col(col) + 50200000000).cast("string")
 
 
 def _offset_text(col: str) -> Column:
