@@ -10,6 +10,7 @@ from touchpath.sources.channels import (
 from touchpath.sources.files import (
     read_inferred_csv,
     read_text_csv,
+    spread_small_input,
     write_csv,
     write_dimension_csv,
     write_parquet,
@@ -48,6 +49,7 @@ __all__ = [
     "scan_sales",
     "snapshot_counts",
     "snapshot_dates",
+    "spread_small_input",
     "union_channels",
     "wave_dimension",
     "write_csv",
