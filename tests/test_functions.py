@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from touchpath import constants as K
 from touchpath import functions as fn
@@ -118,4 +117,3 @@ def test_title_case(spark):
 
 def test_folded(spark):
     assert values(spark, fn.folded("x"), ["  SMS "]) == ["sms"]
-    assert F is not None
