@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchpath.llm import lines, mixing, neardup, packing, quality, repetition, search, toxicity, urls
+from touchpath.llm import lines, mixing, neardup, packing, passages, quality, repetition, search, toxicity, urls
 from touchpath.llm.common import crc32_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op6_lines"] = lines.ORACLE_SQL
 
 
+@query
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
