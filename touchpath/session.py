@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the plans count on. Partition counts are left to the cluster: AQE
@@ -39,24 +37,20 @@ def local_session(cpus: int | str = 8, **extra: str) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share.
 
-    Only a local master may fall back to a folder of its own; on a cluster a
-    machine-local folder would not survive the loss of an executor.
+    ``spark.checkpoint.dir`` names it. Where that is not set, as in a local trial, it lies in the warehouse, which is
+    shared as well; a folder of one machine would not survive the loss of an executor.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="touchpath-checkpoint-")
-    sc.setCheckpointDir(configured)
+    if sc.getCheckpointDir() is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_intermediate")
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
