@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchpath.llm.common import n_words
+from touchpath.llm.common import WORD, n_words
 from touchpath.llm.prefix import running_total, uniform_key
 from touchpath.session import cut_lineage
 
@@ -100,6 +100,33 @@ def mix(docs: DataFrame, options: MixOptions = OPTIONS) -> DataFrame:
     )
 
 
+def mix_documents(docs: DataFrame, options: MixOptions = OPTIONS) -> DataFrame:
+    """The mix itself: ``docs`` with all their columns, each row once per epoch that takes it.
+
+    The row in which a source's budget ends comes with its first words only; ``n_chars``, if there is one, then follows
+    the text. Rows equal in source, id and size share what the last pass takes of them evenly. Rows without a word are
+    not in the mix. Other cases as in ``mix``.
+    """
+    part = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest"))).cast("long")
+    taken = _taken(docs, options).select(*_GROUP, F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "epochs", part.alias("part"), "rows")
+    taken = taken.withColumn("passes", F.concat(F.array_repeat("_size", F.col("epochs").cast("int")), F.array(F.expr("part div rows"))))
+    taken = cut_lineage(taken.select(*_GROUP, "_id", "_size", F.explode(F.filter("passes", lambda n: n > 0)).alias("_take")))
+    rows = docs.withColumns({
+        "_own_unnamed": F.col("source").isNull(), "_own_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "_own_size": n_words(F.col("text").cast("string")),
+    })
+    same = (
+        (F.col("_own_unnamed") == F.col("_unnamed")) & (F.col("_own_source") == F.col("_source"))
+        & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_size") == F.col("_size"))
+    )
+    pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    text = F.when(F.col("_take") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_take").cast("int")), ""))
+    mixed = rows.join(taken, same).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents

@@ -119,3 +119,15 @@ def quality_scores(docs: DataFrame, model: CompressionModel) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return text_batches(source).mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: CompressionModel) -> DataFrame:
+    """The rows of ``docs`` with all their columns whose ``text`` scores at least the threshold; see ``quality_scores``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.scores(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array(scores >= model.options.threshold, pa.bool_()))
+
+    source = docs.withColumn("text", F.col("text").cast("string"))
+    return text_batches(source).mapInArrow(keep, source.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchpath.llm import lines, mixing, neardup, packing, passages, quality, repetition, search, toxicity, urls
@@ -27,11 +27,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_mixing"] = mixing.ORACLE_SQL
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of ``docs`` with a digest of their ids and their places."""
+    digests = packing.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
-    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed(table(spark, sf_dir, "documents"))
 
 
 @query
@@ -65,13 +69,21 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def _quality_held_out() -> Column:
+    return crc32_of(F.col("doc_id")) % 4 == 2
+
+
+def learnt_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.CompressionModel:
+    """Trained on the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.train(docs, labels.where(~_quality_held_out()))
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc32_of(F.col("doc_id")) % 4 == 2
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = quality.train(docs, labels.where(~held_out))
-    return quality.quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    scores = quality.quality_scores(docs, learnt_quality(spark, docs, sf_dir))
+    return scores.select("doc_id", _quality_held_out().alias("held_out"), "score", "predicted")
 
 
 @query
