@@ -25,11 +25,17 @@ def test_route_spells_every_send_in_order(spark):
     assert once["d"] == "one > two"
 
 
-def test_long_routes_keep_everything_as_counts(spark):
-    hot = touches(spark, [("h", 1, "sms", "one")] * 50 + [("h", 2, "sms", "two")])
-    route = R.subject_routes(hot, max_text=100).first()
-    assert (route.ruta_key, route.abreviada, route.pasos_recibidos) == ("one x50 > two x1", True, 51)
-    report = R.route_report(hot, A.attribution_detail(A.conversion_owners(hot, conversions(spark, [("h", 3)]))), max_text=100)
+def test_equal_spelling_is_one_route(spark):
+    """Sends of a step in a row are one run, however they fall on days; very many sends change nothing."""
+    rows = [("h", 1, "sms", "s")] * 50_000 + [("h", 2, "sms", "s")] * 2 + [("g", 1, "sms", "s")] * 2 + [("g", 2, "sms", "s")] * 50_000
+    many = touches(spark, rows)
+    found = R.routes(many).select("ruta_key", "msisdn_en_ruta").collect()
+    assert [(r.ruta_key, r.msisdn_en_ruta) for r in found] == [(" > ".join(["s"] * 50_002), 2)]
+    one = touches(spark, [("h", 1, "sms", "one")] * 50 + [("h", 2, "sms", "two"), ("h", 3, "sms", "one")])
+    route = R.subject_routes(one).first()
+    assert (route.ruta_key, route.pasos_recibidos) == (" > ".join(["one"] * 50 + ["two", "one"]), 52)
+    short = touches(spark, [("h", 1, "sms", "one"), ("h", 2, "sms", "two")])
+    report = R.route_report(short, A.attribution_detail(A.conversion_owners(short, conversions(spark, [("h", 3)]))))
     assert records(R.route_exclusives(report), "pasos_propios") == [("one y two",)]
 
 

@@ -10,56 +10,57 @@ from touchpath.functions import pct, ratio, round_half, route_label
 from touchpath.operators.ranking import ordinal
 from touchpath.operators.windows import SUBJECT_KEY
 
-#: Longest route text spelled out step by step. Longer ones are written with
-#: repeat counts ("A x3 > B x1"), which loses nothing and fits one value.
-MAX_ROUTE_TEXT = 1_000_000
-
-#: ``abreviada`` tells repeat-count texts from spelled ones.
-ROUTE = (K.WAVE, "ruta_key", "abreviada")
+ROUTE = (K.WAVE, "ruta_key")
 
 
 def route_steps() -> Column:
     """Step names of ``ruta_key`` in order."""
-    parts = F.split("ruta_key", K.ROUTE_SEPARATOR)
-    return F.when(
-        F.col("abreviada"), F.transform(parts, lambda s: F.regexp_replace(s, " x[0-9]+$", ""))
-    ).otherwise(parts)
+    return F.split("ruta_key", K.ROUTE_SEPARATOR)
 
 
-def subject_routes(
-    touches: DataFrame, dedupe_steps: bool = False, max_text: int = MAX_ROUTE_TEXT
-) -> DataFrame:
-    """``ruta_key`` and number of touches per subject, steps ordered by day, then name.
+def _runs(touches: DataFrame, dedupe_steps: bool) -> DataFrame:
+    """``tramos`` (steps in order, with the number of sends in a row) and number of touches per subject.
 
-    Touches are counted per subject, day and step before the subject shuffle:
-    the list a task sorts is bounded by days x steps even for a subject that
-    holds a large share of all rows. ``dedupe_steps`` ignores repeated sends
-    of a step on one day.
+    Touches are counted per subject, day and step before the subject shuffle: the list a task sorts is bounded by days
+    x steps even for a subject that holds a large share of all rows. Sends of one step on several days in a row are one
+    run, so equal routes have equal runs.
     """
     counted = touches.groupBy(*SUBJECT_KEY, K.TOUCH_DATE, K.STEP).agg(F.count("*").alias("n"))
     times = F.lit(1).cast("long") if dedupe_steps else F.col("n")
-    runs = counted.groupBy(*SUBJECT_KEY).agg(
-        F.sort_array(F.collect_list(F.struct(K.TOUCH_DATE, K.STEP, times.alias("veces")))).alias("tramos"),
+    listed = counted.groupBy(*SUBJECT_KEY).agg(
+        F.sort_array(F.collect_list(F.struct(K.TOUCH_DATE, K.STEP, times.alias("veces")))).alias("dias"),
         F.sum("n").alias("pasos_recibidos"),
-        F.sum(times * (F.length(K.STEP) + len(K.ROUTE_SEPARATOR))).alias("largo"),
-    )
-    spelled = F.array_join(
-        F.flatten(
-            F.transform("tramos", lambda t: F.array_repeat(t[K.STEP], t["veces"].cast("int")))
-        ),
-        K.ROUTE_SEPARATOR,
-    )
-    counted_runs = F.array_join(
-        F.transform("tramos", lambda t: F.concat(t[K.STEP], F.lit(" x"), t["veces"].cast("string"))),
-        K.ROUTE_SEPARATOR,
-    )
-    return runs.select(
-        *SUBJECT_KEY,
-        F.when(F.col("largo") <= max_text, spelled).otherwise(counted_runs).alias("ruta_key"),
-        (F.col("largo") > max_text).alias("abreviada"),
-        "pasos_recibidos",
     )
 
+    def opens(day: Column, at: Column) -> Column:
+        return (at == 0) | (F.get("dias", at - 1)[K.STEP] != day[K.STEP])
+
+    sent = F.transform("dias", lambda day: day["veces"])
+    starts = F.filter(F.transform("dias", lambda day, at: F.when(opens(day, at), at)), lambda at: at.isNotNull())
+    ends = F.concat(F.slice("inicios", F.lit(2), F.size("inicios")), F.array(F.size("dias")))
+
+    def run(start: Column, end: Column) -> Column:
+        total = F.aggregate(F.slice("veces", start + 1, end - start), F.lit(0).cast("long"), lambda x, y: x + y)
+        return F.struct(F.get("dias", start)[K.STEP].alias("paso"), total.alias("veces"))
+
+    marked = listed.withColumns({"veces": sent, "inicios": starts})
+    return marked.select(*SUBJECT_KEY, F.zip_with("inicios", ends, run).alias("tramos"), "pasos_recibidos")
+
+
+def _spelled(runs: Column) -> Column:
+    """Every send of ``runs`` by name. A route too long for one value is an error, never another form."""
+    sends = F.transform(runs, lambda r: F.array_repeat(r["paso"], r["veces"].cast("int")))
+    return F.array_join(F.flatten(sends), K.ROUTE_SEPARATOR)
+
+
+def subject_routes(touches: DataFrame, dedupe_steps: bool = False) -> DataFrame:
+    """``ruta_key`` and number of touches per subject, steps ordered by day, then name.
+
+    ``dedupe_steps`` ignores repeated sends of a step on one day.
+    """
+    spelled = _spelled(F.col("tramos")).alias("ruta_key")
+    return _runs(touches, dedupe_steps).select(*SUBJECT_KEY, spelled, "pasos_recibidos")
+
 
 def label_routes(sizes: DataFrame, size: str = "msisdn_en_ruta") -> DataFrame:
     """Routes named by size within the wave: the largest is A, ties by key."""
@@ -67,13 +68,13 @@ def label_routes(sizes: DataFrame, size: str = "msisdn_en_ruta") -> DataFrame:
     return ranked.withColumn("ruta", route_label("ruta_num"))
 
 
-def routes(touches: DataFrame, **options: object) -> DataFrame:
-    """Distinct routes with size and label."""
-    sizes = subject_routes(touches, **options).groupBy(*ROUTE).agg(F.count("*").alias("msisdn_en_ruta"))
-    return label_routes(sizes)
+def routes(touches: DataFrame, dedupe_steps: bool = False) -> DataFrame:
+    """Distinct routes with size and label; a route is spelled once, after its subjects have been counted."""
+    sizes = _runs(touches, dedupe_steps).groupBy(K.WAVE, "tramos").agg(F.count("*").alias("msisdn_en_ruta"))
+    return label_routes(sizes.select(K.WAVE, _spelled(F.col("tramos")).alias("ruta_key"), "msisdn_en_ruta"))
 
 
-def route_report(touches: DataFrame, attribution: DataFrame, **options: object) -> DataFrame:
+def route_report(touches: DataFrame, attribution: DataFrame, dedupe_steps: bool = False) -> DataFrame:
     """Reach, conversion, latency and touches per route.
 
     Conversions are summed per subject first, so both sides of the join hold
@@ -85,9 +86,9 @@ def route_report(touches: DataFrame, attribution: DataFrame, **options: object)
         F.sum("toques_previos").alias("toques"),
     )
     totals = (
-        subject_routes(touches, **options)
+        _runs(touches, dedupe_steps)
         .join(credit, list(SUBJECT_KEY), "left")
-        .groupBy(*ROUTE)
+        .groupBy(K.WAVE, "tramos")
         .agg(
             F.count("*").alias("msisdn_impactados"),
             F.count("conv").alias("msisdn_convertidos"),
@@ -96,12 +97,12 @@ def route_report(touches: DataFrame, attribution: DataFrame, **options: object)
             F.sum("toques").alias("toques"),
         )
     )
-    return label_routes(totals, "msisdn_impactados").select(
+    named = totals.withColumn("ruta_key", _spelled(F.col("tramos"))).drop("tramos")
+    return label_routes(named, "msisdn_impactados").select(
         K.WAVE,
         "ruta_num",
         "ruta",
         "ruta_key",
-        "abreviada",
         "msisdn_impactados",
         "msisdn_convertidos",
         pct("msisdn_convertidos", "msisdn_impactados").alias("tasa_pct"),
@@ -116,9 +117,8 @@ def route_exclusives(report: DataFrame) -> DataFrame:
     once = (
         report.select(*ROUTE, F.explode(F.array_distinct(steps)).alias("paso"))
         .groupBy(K.WAVE, "paso")
-        .agg(F.count("*").alias("n"), F.min(F.struct("ruta_key", "abreviada")).alias("duena"))
+        .agg(F.count("*").alias("n"), F.min("ruta_key").alias("ruta_key"))
         .where("n = 1")
-        .select(K.WAVE, "paso", "duena.*")
         .groupBy(*ROUTE)
         .agg(F.collect_set("paso").alias("propios"))
     )
