@@ -68,8 +68,7 @@ def resolve(
     lookup = dictionary.select(F.col("user_key").alias(user), subject.alias(K.SUBJECT)).where(
         F.col(K.SUBJECT).isNotNull()
     )
-    row_id = [c for c in ("event_id",) if c in events.columns]
-    return lookup_join(events, lookup, [user], how, spread_by=row_id)
+    return lookup_join(events, lookup, [user], how)
 
 
 def resolve_touches(

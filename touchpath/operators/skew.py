@@ -1,69 +1,32 @@
-"""Row-level joins against one row per key, when a few keys own most of the rows.
-
-AQE splits a heavy partition only if both sides of the join come straight out
-of a shuffle. A lookup that was just aggregated by the join key does not, so
-its join would leave a heavy key to one task. Here the heavy keys are counted
-first and split explicitly.
-"""
+"""Row-level joins against one row per key, when a few keys own most of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one key a task may get before the key is split.
-ROWS_PER_TASK = 5_000_000
-#: Most keys treated as heavy: bounds the broadcast. A key outside the list
-#: holds less than one row in this many, which a plain shuffle can carry.
-HEAVY_KEYS = 10_000
-#: Most pieces a key is split into.
-MAX_PIECES = 10_000
-
 
-def heavy_keys(facts: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and the pieces to split them into."""
-    pieces = F.least(F.ceil(F.col("_n") / rows_per_task), F.lit(MAX_PIECES)).cast("int")
-    return (
-        facts.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .orderBy(F.col("_n").desc(), *keys)
-        .limit(HEAVY_KEYS)
-        .select(*keys, pieces.alias("_pieces"))
-    )
+def _same_value(lookup: DataFrame, key: str) -> Column:
+    """``key`` as an expression the planner does not know to be partitioned already."""
+    kind = lookup.schema[key].dataType.simpleString()
+    if kind == "string":
+        return F.concat(F.col(key), F.lit(""))
+    if kind == "date":
+        return F.date_add(F.col(key), F.lit(0))
+    return F.concat(F.col(key).cast("string"), F.lit("")).cast(kind)
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    rows_per_task: int = ROWS_PER_TASK,
-    spread_by: Sequence[str] = (),
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """``facts`` joined to a ``lookup`` that holds each key once (inner, left, left_semi, left_anti).
 
-    Rows of a heavy key are dealt out over its pieces, and the key's single
-    lookup row is repeated once per piece. Rows without a key match nothing
-    and are dealt out too. The piece depends on the row (on ``spread_by``, all
-    columns unless given) and its input partition only, so a task that runs
-    again deals the same way. The price is one count over the key columns,
-    reduced before it is shuffled.
+    AQE splits the partition of a heavy key over several tasks, whatever its size, if both sides of the join come
+    straight out of a shuffle. A lookup that was just aggregated by the key does not: its partitioning would be taken
+    over and a heavy key left to one task. So the join is on the value of the keys, which gives the lookup a shuffle
+    of its own. It is the small side; ``facts`` are read once and shuffled once. Rows without a key match nothing.
     """
-    heavy = F.broadcast(heavy_keys(facts, keys, rows_per_task))
-    dealt = F.xxhash64(*(spread_by or facts.columns), F.spark_partition_id())
-    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    piece = (
-        F.when(keyless, F.pmod(dealt, F.lit(MAX_PIECES)))
-        .when(F.col("_pieces").isNotNull(), F.pmod(dealt, F.col("_pieces")))
-        .otherwise(F.lit(0))
-        .cast("int")
-    )
-    left = facts.join(heavy, list(keys), "left").withColumn("_piece", piece).drop("_pieces")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
-    right = lookup.join(heavy, list(keys), "left").withColumn("_piece", F.explode(copies)).drop("_pieces")
-    columns = [*facts.columns, *[c for c in lookup.columns if c not in keys and not how.startswith("left_")]]
-    return left.join(right, [*keys, "_piece"], how).select(*columns)
+    renamed = {k: f"_{k}" for k in keys}
+    right = lookup.withColumns({own: _same_value(lookup, k) for k, own in renamed.items()}).drop(*keys)
+    same = [F.col(k) == F.col(own) for k, own in renamed.items()]
+    return facts.join(right, same, how).drop(*renamed.values())
