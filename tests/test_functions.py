@@ -20,8 +20,8 @@ def test_subject_key_keeps_last_eight_digits(spark):
         "50200000001\t", "\u00a050200000001", "12345678901234567890123450200000001",
     ]
     assert values(spark, fn.subject_key("x"), raw) == ["00000001"] * len(raw)
-    odd = ["50200000001.0", "5e7", "123", "", None, "ext. 12"]
-    assert values(spark, fn.subject_key("x"), odd) == ["00000010", "57", "123", "", None, "12"]
+    odd = ["50200000001.0", "5e7", "123", "", None, "ext. 12", "0200000\x7f", "50200000001\x7f", "50200000001\n"]
+    assert values(spark, fn.subject_key("x"), odd) == ["00000010", "57", "123", "", None, "12", "0200000", "00000001", "00000001"]
 
 
 def test_suffix_key_keeps_punctuation(spark):

@@ -170,10 +170,3 @@ def test_materialized_journey_reads_the_same(spark, tmp_path):
     assert schemas.require(stored.attribution, schemas.ATTRIBUTION, "attribution").count() == 1
     assert stored.owners.count() == 2
     assert dict(stored.touches.dtypes)[K.WAVE] == "string"
-
-
-def test_only_small_tables_are_dealt_out(spark, tmp_path):
-    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
-    df = spark.read.parquet(str(tmp_path / "one"))
-    assert "RoundRobin" in executed_plan(S.spread_small_input(df))
-    assert S.spread_small_input(df, limit_bytes=10) is df

@@ -9,15 +9,9 @@ KEY_DIGITS = 8
 
 
 def subject_key(col: Column | str, digits: int = KEY_DIGITS) -> Column:
-    """Last ``digits`` digits of a phone number in any spelling (text, never a number).
-
-    Numbers already written as plain digits, the usual case, skip the pattern:
-    they parse as a whole number and neither start nor end with a sign or blank.
-    """
+    """Last ``digits`` digits of a phone number in any spelling (text, never a number)."""
     text = (F.col(col) if isinstance(col, str) else col).cast("string")
-    plain = text.try_cast("bigint").isNotNull() & (text >= "0") & (F.substring(text, -1, 1) >= "0")
-    cleaned = F.when(plain, text).otherwise(F.regexp_replace(text, "[^0-9]", ""))
-    return F.substring(cleaned, -digits, digits)
+    return F.substring(F.regexp_replace(text, "[^0-9]", ""), -digits, digits)
 
 
 def suffix_key(col: Column | str, digits: int = KEY_DIGITS) -> Column:

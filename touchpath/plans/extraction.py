@@ -14,7 +14,7 @@ from touchpath.operators.identity import identity_dictionary, resolve, resolve_t
 from touchpath.schemas import EXPORT_COLUMNS
 from touchpath.sources.channels import ChannelSource, channel_touches, union_channels
 from touchpath.sources.files import write_parquet
-from touchpath.sources.profiles import rolling_range, scan_profile, snapshot_dates
+from touchpath.sources.profiles import rolling_range, scan_profile, session_today, snapshot_dates
 
 
 def wave_touches(
@@ -46,10 +46,11 @@ def export_events(
 ) -> DataFrame:
     """Every event of the rolling range with its subject; unmatched events keep NULL.
 
-    Three snapshots stand for the range. Range and snapshots are literals, so
-    both scans prune partitions. The one join keeps every row, so it splits heavy
-    accounts.
+    Three snapshots stand for the range, which ends today unless ``as_of`` is given. Range and snapshots are literals,
+    so both scans prune partitions. The one join keeps every row, so it splits heavy accounts. ``snapshot_gaps`` tells
+    which of the chosen snapshots do not exist.
     """
+    as_of = as_of or session_today(spark)
     since, until = rolling_range(days, as_of)
     events = union_channels(spark, sources, since, until, instance, campaigns)
     snapshots = scan_profile(spark, profile, snapshot_dates(days, as_of), country, keys)

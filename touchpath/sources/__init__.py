@@ -10,7 +10,6 @@ from touchpath.sources.channels import (
 from touchpath.sources.files import (
     read_inferred_csv,
     read_text_csv,
-    spread_small_input,
     write_csv,
     write_dimension_csv,
     write_parquet,
@@ -19,6 +18,8 @@ from touchpath.sources.literal import literal_table, wave_dimension
 from touchpath.sources.profiles import (
     existing_snapshots,
     rolling_range,
+    session_today,
+    snapshot_gaps,
     scan_profile,
     snapshot_counts,
     snapshot_dates,
@@ -43,13 +44,14 @@ __all__ = [
     "read_inferred_csv",
     "read_text_csv",
     "rolling_range",
+    "session_today",
+    "snapshot_gaps",
     "sales_conversions",
     "scan_channel",
     "scan_profile",
     "scan_sales",
     "snapshot_counts",
     "snapshot_dates",
-    "spread_small_input",
     "union_channels",
     "wave_dimension",
     "write_csv",

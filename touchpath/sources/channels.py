@@ -70,7 +70,7 @@ def scan_channel(
     if instance is not None:
         df = df.where(F.col("instance_tp") == instance)
     if source.mixed_channels:
-        df = df.where(folded("step_name").isin(list(source.mixed_channels)))
+        df = df.where(folded("step_name").isin([c.strip().lower() for c in source.mixed_channels]))
     if campaigns is not None:
         df = df.where(campaign_filter(campaigns))
     return df

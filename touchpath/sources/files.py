@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchpath.schemas import text_schema
 
-#: Half a default scan split: below this a table cannot keep more than one task busy.
-SMALL_INPUT = 64 * 1024 * 1024
-
 
 def read_text_csv(
     spark: SparkSession,
@@ -37,17 +34,6 @@ def read_inferred_csv(spark: SparkSession, path: str | list[str], sep: str = ","
     return spark.read.csv(path, header=True, inferSchema=True, sep=sep)
 
 
-def spread_small_input(df: DataFrame, limit_bytes: int = SMALL_INPUT) -> DataFrame:
-    """Deal a table smaller than one scan split out to all cores.
-
-    A single small file is read by one task, and everything up to the first
-    shuffle stays there. Tables above ``limit_bytes`` (by the size of their
-    files) already have a task per split and are returned unchanged.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size > limit_bytes else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """One folder of CSV parts with a header each; tasks write in parallel."""
     df.write.mode(mode).option("escape", '"').partitionBy(*partition_by).csv(path, header=True)

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def rolling_range(days: int, as_of: dt.date | None = None) -> tuple[dt.date, dt.date]:
-    """The last ``days`` days up to ``as_of`` (today unless given), end exclusive."""
-    until = as_of or dt.date.today()
-    return until - dt.timedelta(days=days), until
+def session_today(spark: SparkSession) -> dt.date:
+    """Today in the session's time zone, whatever the driver's clock is set to."""
+    return spark.sql("SELECT current_date()").first()[0]
 
 
-def snapshot_dates(days: int, as_of: dt.date | None = None) -> list[str]:
+def rolling_range(days: int, as_of: dt.date) -> tuple[dt.date, dt.date]:
+    """The last ``days`` days up to ``as_of``, end exclusive."""
+    return as_of - dt.timedelta(days=days), as_of
+
+
+def snapshot_dates(days: int, as_of: dt.date) -> list[str]:
     """First, middle and latest snapshot of a rolling range, as the text the partition holds."""
-    until = as_of or dt.date.today()
-    return [(until - dt.timedelta(days=n)).isoformat() for n in (days, days // 2, 1)]
+    return [(as_of - dt.timedelta(days=n)).isoformat() for n in (days, days // 2, 1)]
 
 
 def scan_profile(
@@ -45,5 +48,12 @@ def snapshot_counts(profile: DataFrame) -> DataFrame:
     return profile.groupBy("fct_dt").agg(F.count("*").alias("filas"))
 
 
+def snapshot_gaps(profile: DataFrame, snapshots: Sequence[str]) -> DataFrame:
+    """Chosen snapshots that ``profile`` does not hold; a scan of them would silently read fewer."""
+    chosen = profile.sparkSession.createDataFrame([(s,) for s in snapshots], "fct_dt string")
+    existing = profile.where(F.col("fct_dt").isin(list(snapshots))).select("fct_dt").distinct()
+    return chosen.join(existing, "fct_dt", "left_anti")
+
+
 def existing_snapshots(profile: DataFrame) -> DataFrame:
     return profile.select("fct_dt").distinct()
