@@ -44,9 +44,13 @@ def reach_and_conversion(
 
 
 def day_channel_report(touches: DataFrame, attribution: DataFrame) -> DataFrame:
-    """Per touch day and channel, with the English weekday."""
+    """Per touch day and channel, with the English weekday.
+
+    The log is reduced to subject and account first: the two distincts expand those rows only.
+    """
+    reached = touches.select(K.WAVE, K.TOUCH_DATE, K.CHANNEL, K.SUBJECT, K.ACCOUNT).distinct()
     report = reach_and_conversion(
-        touches,
+        reached,
         attribution,
         [K.TOUCH_DATE, K.CHANNEL],
         [F.countDistinct(K.ACCOUNT).alias("cuentas_impactadas")],

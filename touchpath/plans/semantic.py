@@ -28,12 +28,13 @@ class Measure:
     expr: Callable[[], Column] | None = None
     over: tuple[str, str] | None = None
     count: bool = True
+    distinct: str = ""  # the column a distinct count is of
 
 
 MEASURES: dict[str, Measure] = {
-    "envios_totales": Measure("touches", lambda: F.count("*")),
-    "impactados": Measure("touches", lambda: F.countDistinct(K.SUBJECT)),
-    "pasos_journey": Measure("touches", lambda: F.countDistinct(K.STEP)),
+    "envios_totales": Measure("touches", lambda: F.sum("_sends")),
+    "impactados": Measure("touches", lambda: F.countDistinct(K.SUBJECT), distinct=K.SUBJECT),
+    "pasos_journey": Measure("touches", lambda: F.countDistinct(K.STEP), distinct=K.STEP),
     "renovaciones_atribuidas": Measure("attribution", lambda: F.count("*")),
     "convertidos": Measure("attribution", lambda: F.countDistinct(K.SUBJECT)),
     "latencia_mediana": Measure("attribution", lambda: F.median("dias_al_convertir"), count=False),
@@ -55,6 +56,13 @@ class Slicers:
     dates: tuple[object, object] | None = None
     weekdays: Sequence[int] = ()
 
+    def require(self, facts: Mapping[str, DataFrame]) -> None:
+        """A slicer whose column no fact has would filter nothing: that is an error, not an empty choice."""
+        known = {c for df in facts.values() for c in df.columns}
+        unknown = sorted({*self.values, *self.ranges} - known)
+        if unknown:
+            raise ValueError(f"no fact has the slicer columns {unknown}")
+
     def apply(self, df: DataFrame, fact: str) -> DataFrame:
         for column, wanted in self.values.items():
             if column in df.columns:
@@ -83,6 +91,7 @@ def evaluate(
     are looked up by those values. Without it every value of any fact is kept.
     Counts that find no row are zero, other measures NULL.
     """
+    slicers.require(facts)
     needed: list[str] = []
     for name in measures:
         for part in MEASURES[name].over or (name,):
@@ -96,7 +105,11 @@ def evaluate(
     result: DataFrame | None = None
     for fact, names in by_fact.items():
         aggs = [MEASURES[n].expr().alias(n) for n in names]
-        grouped = slicers.apply(facts[fact], fact).groupBy(*axes)
+        rows = slicers.apply(facts[fact], fact)
+        if fact == "touches":  # several distincts expand these rows, not the log
+            kept = dict.fromkeys([*axes, *(MEASURES[n].distinct for n in names if MEASURES[n].distinct)])
+            rows = rows.groupBy(*kept).agg(F.count("*").alias("_sends"))
+        grouped = rows.groupBy(*axes)
         part = grouped.agg(*aggs) if aggs else grouped.agg(F.count("*").alias("_n")).drop("_n")
         how = "left" if rows_from is not None else "full_outer"
         result = part if result is None else result.join(part, list(axes), how)
