@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchpath import Journey, JourneyConfig
-from touchpath.sources import ChannelSource, spread_small_input
+from touchpath.sources import ChannelSource
 
 WAVES = ("pilot", "prod")
-SNAPSHOTS = ("2024-01-01", "2024-01-15", "2024-01-29")
+SNAPSHOTS = ("2024-01-01", "2024-01-16", "2024-01-29")
 KEYS = ("vendor_id", "external_id")
 SINCE, UNTIL = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
 EVENTS = JourneyConfig(WAVES, last_touch_days=3, priority={"view": 1, "click": 2})
@@ -37,13 +37,8 @@ SCHEMAS = {
 }
 
 
-#: Tables whose rows are parsed and counted; the others are only joined.
-FACTS = ("events", "lineitem", "orders")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small_input(df) if name in FACTS else df
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _wave(ts: str, split: str) -> Column:
@@ -62,13 +57,31 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
+#: What is wrong with the second copy of every 40th event, by event_id % 200.
+FAULTS = {0: "short key", 40: "no key", 80: "unreadable date", 120: "no date", 160: "empty date"}
+
+
+def _with_faults(events: DataFrame) -> DataFrame:
+    """Every 40th event twice, the second time with a ``fault`` that cleaning must reject."""
+    fault = F.element_at(F.create_map(*(F.lit(x) for kv in FAULTS.items() for x in kv)), (F.col("event_id") % 200).cast("int"))
+    return events.withColumn("fault", F.explode(F.when(F.col("event_id") % 40 == 0, F.array(F.lit(None), fault)).otherwise(F.array(F.lit(None)))))
+
+
+def _faulty(key: Column, day: Column) -> tuple[Column, Column]:
+    no_key, no_day = F.col("fault").isin("no key"), F.col("fault").isin("no date")
+    bad_key = F.when(F.col("fault").isin("short key"), "+502 123").when(~F.coalesce(no_key, F.lit(False)), key)
+    bad_day = F.when(F.col("fault").isin("unreadable date"), "xx").when(F.col("fault").isin("empty date"), "").when(~F.coalesce(no_day, F.lit(False)), day)
+    return bad_key, bad_day
+
+
 def raw_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "signup"))
-    return events.withColumn("k", _k()).select(
+    key, day = _faulty(_phone("user_id"), _offset_text("ts"))
+    return _with_faults(events).withColumn("k", _k()).select(
         _wave("ts", "2024-01-16"),
-        _phone("user_id").alias("msisdn"),
+        key.alias("msisdn"),
         F.concat(F.lit("A"), F.col("event_id") % 3, F.lit("-"), F.col("user_id")).alias("cuenta_id"),
-        _offset_text("ts").alias("fecha_envio"),
+        day.alias("fecha_envio"),
         F.concat(F.lit("  "), F.upper("event_type"), F.lit(" ")).alias("canal"),
         F.concat(F.lit(" STEP "), F.col("k") % 7 + 1).alias("canvas_step_nm"),
         F.when(F.col("k") % 3 == 1, "  ").when(F.col("k") % 3 == 2, "Variant 1").alias("canvas_variation_nm"),
@@ -82,11 +95,12 @@ def raw_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("k", _k())
+    bought = _with_faults(table(spark, sf_dir, "events").where("event_type = 'purchase'")).withColumn("k", _k())
+    key, day = _faulty(F.lpad(F.col("user_id").cast("string"), 8, "0"), F.to_date("ts").cast("string"))
     return bought.join(places, F.col("user_id") == F.col("c_custkey")).select(
         _wave("ts", "2024-01-16"),
-        F.lpad(F.col("user_id").cast("string"), 8, "0").alias("msisdn"),
-        F.to_date("ts").cast("string").alias("fecha_conv"),
+        key.alias("msisdn"),
+        day.alias("fecha_conv"),
         F.concat(F.lit("ch"), F.col("k") % 4).alias("channel"),
         F.lower("n_name").alias("ciudad"),
         F.concat(F.col("r_name"), F.lit(" ")).alias("departamento"),
@@ -181,7 +195,7 @@ def campaign_sources(spark: SparkSession, sf_dir: str) -> list[ChannelSource]:
 
 
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily snapshots of the customers; the BUILDING segment only shows up in the last one."""
+    """Daily snapshots of the customers; BUILDING only shows up in the last one, MACHINERY not in the first."""
     key = F.col("c_custkey")
     snapshot = F.explode(F.array(*[F.lit(s) for s in SNAPSHOTS]))
     return (
@@ -197,6 +211,7 @@ def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             "c_mktsegment",
         )
         .where((F.col("c_mktsegment") != "BUILDING") | (F.col("fct_dt") == SNAPSHOTS[-1]))
+        .where((F.col("c_mktsegment") != "MACHINERY") | (F.col("fct_dt") != SNAPSHOTS[0]))
         .drop("c_mktsegment")
     )
 
