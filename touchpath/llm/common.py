@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchpath.session import cut_lineage
+
 #: A word is a run of anything but the six ASCII white-space characters.
 #: ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -12,6 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text per Arrow batch. Texts differ in length by a factor of ten thousand,
 #: so a batch of the default 10,000 rows could fill a Python worker.
 TEXT_BATCH_ROWS = 500
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_batches(df: DataFrame) -> DataFrame:
     """``df`` as it is, in a session whose Arrow batches are small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    df.sparkSession.conf.set(_BATCH_ROWS, str(TEXT_BATCH_ROWS))
     return df
 
 
+def stored_in_batches(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` stored now, with at most ``rows`` rows per Arrow batch."""
+    df.sparkSession.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        return cut_lineage(df)
+    finally:
+        df.sparkSession.conf.set(_BATCH_ROWS, str(TEXT_BATCH_ROWS))
+
+
 def n_words(text: Column) -> Column:
     """Words of ``text`` as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

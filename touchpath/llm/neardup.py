@@ -4,9 +4,9 @@ Every document's set of word shingles is thrown into the coordinates of its sket
 hash, until each coordinate holds the first and smallest arrival (after as many rounds as there are coordinates, each round
 serves one coordinate, so all fill). Equal bands of coordinates make candidates. Links are confirmed on full sets.
 
-Documents with equal sets form one node. Within a band's bucket no pair list is made: first every node is compared with
-the bucket's smallest node alone, which joins groups of copies; then only buckets whose nodes are not yet connected
-are searched, in blocks, for pairs of different components whose sketches agree, and these are confirmed too.
+Documents with equal sets form one node. Within a band's bucket no pair list is made: first every node is
+compared with one smallest node of its buckets, which joins groups of copies; then only buckets whose nodes are not yet
+connected are compared in full, in bounded blocks that give no more links than connect them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchpath.llm.common import text_batches
+from touchpath.llm.common import stored_in_batches, text_batches
 from touchpath.llm.components import components
 from touchpath.session import cut_lineage
 
@@ -33,9 +33,7 @@ class NearDupOptions:
     percent: int = 75
     bands: int = 64
     rows: int = 6
-    signature: int = 128  # coordinates compared inside buckets, 16 bits each
-    signature_share: float = 0.55  # five deviations below the limit
-    block: int = 128
+    block: int = 65_536  # shingles of a block of a bucket
 
 
 OPTIONS = NearDupOptions()
@@ -127,21 +125,19 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, options: NearDupOptions) -> DataFrame:
-    """Full set and signature of the nodes ``wanted`` (``doc_id``, ``text_hash``, ``node``), stored."""
+    """``node`` and its full set (``items``) for the rows ``wanted`` (``doc_id``, ``text_hash``, ``node``), stored."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = options.bands * options.rows // options.signature
         for batch in batches:
-            sets = [shingles(text, options.words) for text in batch.column(1).to_pylist()]
-            signs = [_mixed(sketch(s, options.bands * options.rows)[::step][: options.signature]).astype("<u2").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(signs, pa.binary())], ["node", "items", "sign"])
+            sets = [shingles(text, options.words).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "items"])
 
     keys = ["_id", "text_hash"]
     known = F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id")  # only to find the row again
     rows = _hashed(docs).select(known, "text_hash", "text").join(wanted.select(known, "text_hash", "node"), keys)
     rows = rows.groupBy(*keys, "node").agg(F.first("text").alias("text"))
     texts = rows.select("node", F.col("text").cast("binary").alias("text"))
-    return cut_lineage(text_batches(texts).mapInArrow(work, "node long, items binary, sign binary"))
+    return cut_lineage(text_batches(texts).mapInArrow(work, "node long, items binary"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,46 +156,78 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    items = sets.select("node", "items")
-    joined = pairs.join(items.withColumnsRenamed({"node": "a", "items": "left"}), "a").join(items.withColumnsRenamed({"node": "b", "items": "right"}), "b")
+    joined = pairs.join(sets.withColumnsRenamed({"node": "a", "items": "left"}), "a").join(sets.withColumnsRenamed({"node": "b", "items": "right"}), "b")
     return cut_lineage(text_batches(joined.select("a", "b", "left", "right")).mapInArrow(work, "a long, b long"))
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, options: NearDupOptions) -> DataFrame:
-    """Pairs of one bucket, of different components and similar by sketch, except those with the bucket's pivot."""
-    rows = members.join(labels, "node", "left").select("key", "node", "pivot", "n", F.coalesce("component", "node").alias("component"))
-    rows = cut_lineage(rows)
+def _forest(nodes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], across: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what can be connected of a block, found by exact comparison of all its open pairs."""
+    sizes = np.array([len(s) for s in sets])
+    _, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    common = counts[number] > 1  # a shingle of one set alone is in no intersection
+    owner, number = owner[common], np.unique(number[common], return_inverse=True)[1]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    width = 2048
+    for start in range(0, int(number.max(initial=-1)) + 1, width):
+        lo, hi = np.searchsorted(number, [start, start + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[lo:hi], number[lo:hi] - start] = 1
+        shared += part @ part.T
+    similar = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    similar &= groups[:, None] != groups[None, :]
+    if across:
+        similar &= blocks[:, None] != blocks[None, :]
+    root = {g: g for g in groups.tolist()}
+
+    def find(g: int) -> int:
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
+
+    links = []
+    for x, y in zip(*np.nonzero(np.triu(similar)), strict=True):
+        p, q = find(int(groups[x])), find(int(groups[y]))
+        if p != q:
+            root[p] = q
+            links.append((int(nodes[x]), int(nodes[y])))
+    return links
+
+
+def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, options: NearDupOptions) -> DataFrame:
+    """Links between different components within the buckets, stored.
+
+    A bucket that still holds several components is dealt into blocks of about ``block`` shingles, and every pair of blocks
+    is compared on full sets as one bounded group.
+    """
+    rows = cut_lineage(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     ends = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = rows.join(cut_lineage(ends.where("low <> high").select("key")), "key").where("node <> pivot").join(sets.select("node", "sign"), "node")
-    n_blocks = F.expr(f"cast(ceil(n / {options.block}.0) as int)")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    open_keys = cut_lineage(ends.where("low <> high").select("key"))
+    n_blocks = F.expr(f"cast(ceil(shingles / {options.block}.0) as int)")
+    rows = rows.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).join(sets, "node")
     groups = rows.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    lists = groups.agg(F.collect_list(F.struct("node", "component", "block", "sign")).alias("rows")).where(F.size("rows") > 1)
-    least = int(options.signature_share * options.signature)
+    lists = groups.agg(F.collect_list(F.struct("node", "component", "block", "items")).alias("rows")).where(F.size("rows") > 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for k in range(batch.num_rows):
-                group = batch.column(2)[k].values
-                node, component, block = (group.field(f).to_numpy() for f in range(3))
-                sign = np.frombuffer(b"".join(group.field(3).to_pylist()), "<u2").reshape(len(node), -1)
-                across = batch.column(0)[k].as_py() != batch.column(1)[k].as_py()
-                for x in range(len(node) - 1):
-                    agree = (sign[x + 1 :] == sign[x]).sum(axis=1) >= least
-                    agree &= component[x + 1 :] != component[x]
-                    if across:
-                        agree &= block[x + 1 :] != block[x]
-                    found += [(min(node[x], y), max(node[x], y)) for y in node[x + 1 :][agree]]
-            pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+            links = []
+            for across, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                node, component, block = (group.values.field(f).to_numpy() for f in range(3))
+                items = [np.frombuffer(x, np.uint64) for x in group.values.field(3).to_pylist()]
+                links += _forest(node, component, block, items, across, options.percent)
+            pairs = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return text_batches(lists.select("i", "j", "rows")).mapInArrow(work, "a long, b long").distinct()
+    groups_of = lists.select((F.col("i") != F.col("j")).alias("across"), "rows")
+    return stored_in_batches(groups_of.mapInArrow(work, "a long, b long"), 16)
 
 
 def near_duplicates(docs: DataFrame, options: NearDupOptions = OPTIONS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``; then ``text_hash`` and the number
+    of the ``component``.
 
     Reads ``doc_id`` and ``text``. Two documents are linked if their full shingle sets are similar enough;
     ``component_id`` is the smallest ``doc_id`` reachable over links. Null and empty texts have an empty set, link
@@ -211,20 +239,34 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions = OPTIONS) -> DataF
     prints = ["fp1", "fp2"]
     worded = rows.where("n_shingles > 0")
     classes = cut_lineage(worded.groupBy(*prints).agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id")))
-    first = worded.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    keys = cut_lineage(first.select(F.explode("keys").alias("key"), F.col("uid").alias("node")))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(keys.join(cut_lineage(buckets), "key"))
-    wanted = first.select("doc_id", "text_hash", F.col("uid").alias("node")).join(members.select("node").distinct(), "node", "left_semi")
+    first = worded.withColumnRenamed("uid", "node").join(classes.select("node"), "node", "left_semi")
+    first = cut_lineage(first.select("node", "doc_id", "text_hash", "n_shingles", "keys"))
+    keys = first.select(F.explode("keys").alias("key"), "node", "n_shingles")
+    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    members = cut_lineage(keys.drop("n_shingles").join(cut_lineage(buckets.where("n > 1").drop("n")), "key"))
+    wanted = first.select("doc_id", "text_hash", "node").join(members.select("node").distinct(), "node", "left_semi")
     sets = _sets(docs, wanted, options)
-    pivots = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(pivots, sets, options.percent)
+    # One comparison for each node joins most groups; what a bucket still holds apart is then compared in full.
+    pivots = members.where("node <> pivot").groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a"))
+    links = _confirmed(pivots.select("a", "b"), sets, options.percent)
     labels = cut_lineage(components(links))
-    more = _confirmed(_open_pairs(members.where("n > 2"), labels, sets, options), sets, options.percent)
+    more = _open_links(members.drop("pivot"), labels, sets, options)
     labels = components(links.union(more))
     named = cut_lineage(classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = cut_lineage(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    found = cut_lineage(named.join(ids, "component").select(*prints, "component_id", F.lit(True).alias("_found")))
-    done = rows.select("doc_id", "n_shingles", *prints).join(found, prints, "left")
-    own = F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return done.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = cut_lineage(named.join(ids, "component").select(*prints, "component_id", "component"))
+    done = rows.select("doc_id", "n_shingles", "text_hash", "uid", *prints).join(found, prints, "left")
+    own = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    done = done.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash", F.coalesce("component", "uid").alias("component"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return done.select("doc_id", "n_shingles", "component_id", kept, "text_hash", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, options: NearDupOptions = OPTIONS) -> DataFrame:
+    """``docs`` with all their columns, one row of each component: of its smallest id, and of several such rows the one
+    with the smallest hash of its text. Documents without words all stay, but equal rows among them once."""
+    kept = near_duplicates(docs, options).where("kept").groupBy("component").agg(F.first("doc_id").alias("_id"), F.min("text_hash").alias("_hash"))
+    kept = cut_lineage(kept.select("_id", "_hash").distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    rows = docs.withColumn("_own_hash", F.xxhash64(F.col("text").cast("string"))).join(kept, same, "left_semi")
+    return rows.dropDuplicates(["doc_id", "_own_hash"]).select(*docs.columns)
