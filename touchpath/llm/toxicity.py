@@ -19,7 +19,8 @@ class ToxicityOptions:
     """``rows_per_class`` bounds the labelled rows read for training, ``text_bytes`` a training text.
 
     n-grams of bytes are hashed into ``2 ** bits`` features; those in fewer than ``min_rows`` training rows or with a
-    log-count ratio below ``min_ratio`` carry no weight.
+    log-count ratio below ``min_ratio``, or whose shares in the classes differ by less than ``min_deviations`` standard
+    deviations, carry no weight: chance alone would add up over a very long text.
     """
 
     rows_per_class: int = 2000
@@ -28,6 +29,7 @@ class ToxicityOptions:
     bits: int = 20
     min_rows: int = 4
     min_ratio: float = 1.0
+    min_deviations: float = 3.0
     penalty: float = 1e-3
     threshold: float = 0.5
 
@@ -81,7 +83,11 @@ def _fit(rows: list[tuple[str, int, float]], options: ToxicityOptions) -> NgramM
         counts[int(label), numbers] += 1
     shares = (counts + 1) / (np.array([(y == 0).sum(), (y == 1).sum()])[:, None] + 2)
     ratio = np.log(shares[1] / shares[0])
-    used = (counts.sum(axis=0) >= options.min_rows) & (np.abs(ratio) >= options.min_ratio)
+    seen = counts.sum(axis=0)
+    used = (seen >= options.min_rows) & (np.abs(ratio) >= options.min_ratio)
+    if 0 < y.sum() < len(y):
+        spread = seen / len(y) * (1 - seen / len(y)) * (1 / y.sum() + 1 / (len(y) - y.sum()))
+        used &= np.abs(shares[1] - shares[0]) >= options.min_deviations * np.sqrt(spread)
     number = np.full(1 << options.bits, -1, dtype=np.int64)
     number[used] = np.arange(int(used.sum()))
     columns = [number[p][number[p] >= 0] for p in present]
