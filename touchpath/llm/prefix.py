@@ -28,6 +28,8 @@ def running_total(rows: DataFrame, counts: DataFrame, group: list[str], key: str
     width = (F.expr(f"{1 << KEY_BITS}L div greatest(1L, ceil(n / {ROWS_PER_SLICE}.0))") + F.lit(1)).alias("_width")
     keyed = rows.join(counts.select(*group, width), group)
     keyed = keyed.withColumn("_slice", F.expr(f"`{key}` div _width")).withColumn("_section", F.expr(f"_slice div {SLICES_PER_SECTION}")).drop("_width")
+    # Dealt by slice here, or the slices of a group would stay where the join by group has put them: in one task.
+    keyed = keyed.repartition(*group, "_section", "_slice")
     slices = keyed.groupBy(*group, "_section", "_slice").agg(F.sum(value).alias("_total"))
     sections = slices.groupBy(*group, "_section").agg(F.sum("_total").alias("_total"))
 
@@ -38,7 +40,7 @@ def running_total(rows: DataFrame, counts: DataFrame, group: list[str], key: str
     starts = above(slices, [*group, "_section"], "_slice").join(
         above(sections, group, "_section").withColumnRenamed("_above", "_base"), [*group, "_section"]
     )
-    starts = starts.select(*group, "_slice", (F.col("_above") + F.col("_base")).alias("_start"))
-    order = Window.partitionBy(*group, "_slice").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(*group, "_section", "_slice", (F.col("_above") + F.col("_base")).alias("_start"))
+    order = Window.partitionBy(*group, "_section", "_slice").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(value).over(order), F.lit(0).cast("long"))
-    return keyed.drop("_section").join(starts, [*group, "_slice"]).withColumn(name, F.col("_start") + inside).drop("_start", "_slice")
+    return keyed.join(starts, [*group, "_section", "_slice"]).withColumn(name, F.col("_start") + inside).drop("_start", "_section", "_slice")
