@@ -11,10 +11,12 @@ from touchpath.session import cut_lineage
 #: ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of text per Arrow batch. Texts differ in length by a factor of ten thousand,
-#: so a batch of the default 10,000 rows could fill a Python worker.
+#: Rows and bytes of text per Arrow batch. Texts differ in length by a factor of ten thousand, so a batch of the
+#: default 10,000 rows could fill a Python worker, and one of 500 long texts still strain it and the JVM's buffers.
 TEXT_BATCH_ROWS = 500
+TEXT_BATCH_BYTES = 4 << 20
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_batches(df: DataFrame) -> DataFrame:
     """``df`` as it is, in a session whose Arrow batches are small enough for long texts."""
     df.sparkSession.conf.set(_BATCH_ROWS, str(TEXT_BATCH_ROWS))
+    df.sparkSession.conf.set(_BATCH_BYTES, str(TEXT_BATCH_BYTES))
     return df
 
 
