@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchpath.llm import lines, mixing, neardup, packing, quality
 from touchpath.llm.common import table
-from touchpath.llm.queries import learnt_quality, packed
+from touchpath.llm.queries import digests, learnt_quality, sequences
 from touchpath.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
-    return packed(docs)
+    """Every piece of every document with its ids and its place in a sequence."""
+    return sequences(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -56,7 +56,8 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rows of the last stage: ``doc_id``, ``piece``, ``start``, ``length``, ``ids``, ``sequence_id``, ``offset``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for number, (_, stage) in enumerate(STAGES):
@@ -64,3 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered report: the rows of ``packed_sequences`` with a digest in place of their ids."""
+    return digests(packed_sequences(spark, sf_dir))

@@ -57,6 +57,18 @@ def test_round_trip(spark, odd_rows, tokenizer, clashing):
     assert len(bins) <= 1.02 * sum(r.length for r in got) / 2048 + 1
 
 
+def test_sequences_hold_the_ids(spark, odd_rows, tokenizer):
+    rows = [(i, text) for i, (_, text, _) in enumerate(odd_rows)]
+    got = queries.sequences(documents(spark, rows)).collect()
+    of = defaultdict(dict)
+    for r in got:
+        assert len(r.ids) == 4 * r.length
+        of[r.doc_id][r.start] = bytes(r.ids)
+    for i, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        assert b"".join(of[i][start] for start in sorted(of[i])) == ids.tobytes()
+
+
 def test_fullest_equals_brute_force():
     rng = random.Random(4)
     for _ in range(200):

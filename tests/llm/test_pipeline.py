@@ -53,6 +53,15 @@ def test_run_over_the_given_tables(spark, sf_dir):
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
 
 
+def test_last_stage_stores_the_ids(spark, sf_dir):
+    rows = corpus_pipeline.packed_sequences(spark, sf_dir).select("ids", "length", "sequence_id", "offset").collect()
+    assert rows and all(len(r.ids) == 4 * r.length for r in rows)
+    held = Counter()
+    for r in rows:
+        held[r.sequence_id] += r.length
+    assert sorted(held) == list(range(len(held))) and max(held.values()) <= 2048
+
+
 def test_empty_documents(spark, tmp_path):
     documents(spark, []).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -171,4 +171,4 @@ def pack(pieces: DataFrame, options: PackOptions = OPTIONS) -> DataFrame:
     ranked = ranked.drop("_key", "_one")
     fields = [f for f in ranked.schema.fields if f.name != "_rank"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return text_batches(ranked).mapInArrow(place, f"{schema}, sequence_id long, offset long")

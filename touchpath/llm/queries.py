@@ -27,10 +27,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_mixing"] = mixing.ORACLE_SQL
 
 
+def sequences(docs: DataFrame) -> DataFrame:
+    """The pieces of ``docs`` with their ids and their places."""
+    return packing.pack(packing.token_pieces(docs)).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """Packed ``pieces`` with a digest in place of their ids."""
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    """The pieces of ``docs`` with a digest of their ids and their places."""
-    digests = packing.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """The pieces of ``docs``, packed with their ids, with a digest of the ids and their places."""
+    return digests(sequences(docs))
 
 
 @query
