@@ -56,11 +56,12 @@ def encoder(vocabulary: str | None = None) -> Callable[[str], list[int]]:
     return lambda text: encoding.encode(text, allowed_special="all")
 
 
-def token_pieces(docs: DataFrame, options: PackOptions = OPTIONS) -> DataFrame:
+def token_pieces(docs: DataFrame, options: PackOptions = OPTIONS, narrow: bool = False) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length`` and ``ids`` (little-endian unsigned 32-bit) of all pieces of all texts.
 
     A document's ids end with ``end_id``, so a null or empty text is that one id. Only documents longer than
     ``capacity`` are cut: full pieces, the shorter rest first. Repeated rows and null ids give pieces like any other row.
+    With ``narrow``, pieces whose ids all fit have 16 bits an id, which ``pack`` widens again: half to store and to move.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,10 +71,11 @@ def token_pieces(docs: DataFrame, options: PackOptions = OPTIONS) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), options.end_id], dtype="<u4")
+                stored = ids.astype("<u2") if narrow and ids.max() < 1 << 16 else ids
                 ends = range(len(ids) % size or size, len(ids) + 1, size) if len(ids) >= size else [len(ids)]
                 start = 0
                 for piece, end in enumerate(ends):
-                    rows.append((doc_id, piece, start, end - start, ids[start:end].tobytes()))
+                    rows.append((doc_id, piece, start, end - start, stored[start:end].tobytes()))
                     start = end
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -142,20 +144,27 @@ def _places(bins: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
+def _widened(ids: pa.Array, length: np.ndarray) -> pa.Array:
+    """``ids`` with 32 bits an id, whichever rows have 16."""
+    rows = zip(ids.to_pylist(), length.tolist(), strict=True)
+    return pa.array([np.frombuffer(x, "<u2").astype("<u4").tobytes() if x is not None and len(x) == 2 * n else x for x, n in rows], pa.binary())
+
+
 def pack(pieces: DataFrame, options: PackOptions = OPTIONS) -> DataFrame:
     """``pieces`` (``length``, ``doc_id``, ``piece``, any others) with ``sequence_id`` and ``offset``.
 
     No sequence is longer than ``capacity``; offsets leave no gap; sequences are numbered from 0. ``pieces`` is stored
     first, since its histogram and its rows must be of one run. Pieces of one length are told apart by a hash of
     (``doc_id``, ``piece``); which of several equal rows goes where is open. A length above ``capacity`` or below 1 is
-    an error; an empty table gives no rows. Only the histogram (``capacity`` rows at most) meets on the driver.
+    an error; an empty table gives no rows. Only the histogram (``capacity`` rows at most) meets on the driver, and goes
+    to every task, so that the rows move once. Binary ``ids`` of 16 bits come out with 32.
     """
     stored = cut_lineage(pieces.withColumn("_key", uniform_key(F.col("doc_id"), F.col("piece"))))
     counts = cut_lineage(stored.groupBy("length").agg(F.count("*").alias("n")))
     if counts.where(~F.col("length").between(1, options.capacity) | F.col("length").isNull()).count():
         raise ValueError("a piece must have 1 to capacity tokens")
     places = _places(plan_bins({r["length"]: r["n"] for r in counts.collect()}, options.capacity))
-    ranked = running_total(stored.withColumn("_one", F.lit(1).cast("long")), counts, ["length"], "_key", ["doc_id", "piece"], "_one", "_rank")
+    ranked = running_total(stored.withColumn("_one", F.lit(1).cast("long")), F.broadcast(counts), ["length"], "_key", ["doc_id", "piece"], "_one", "_rank")
     span = np.int64(1 << 44)  # ranks of one length are below
     starts = places[:, 0] * span + places[:, 1]
 
@@ -165,10 +174,11 @@ def pack(pieces: DataFrame, options: PackOptions = OPTIONS) -> DataFrame:
             at = places[np.searchsorted(starts, length * span + rank, side="right") - 1]
             bin_, slot = np.divmod(rank - at[:, 1], at[:, 2])
             kept = [c for c in batch.schema.names if c != "_rank"]
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            arrays = [_widened(a, length) if c in wide else a for c, a in ((c, batch.column(batch.schema.get_field_index(c))) for c in kept)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(at[:, 3] + bin_), pa.array(at[:, 4] + slot * length)], [*kept, "sequence_id", "offset"])
 
     ranked = ranked.drop("_key", "_one")
+    wide = {f.name for f in ranked.schema.fields if f.name == "ids" and f.dataType.simpleString() == "binary"}
     fields = [f for f in ranked.schema.fields if f.name != "_rank"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return text_batches(ranked).mapInArrow(place, f"{schema}, sequence_id long, offset long")

@@ -29,7 +29,7 @@ ORACLE["op1_mixing"] = mixing.ORACLE_SQL
 
 def sequences(docs: DataFrame) -> DataFrame:
     """The pieces of ``docs`` with their ids and their places."""
-    return packing.pack(packing.token_pieces(docs)).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    return packing.pack(packing.token_pieces(docs, narrow=True)).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
 def digests(pieces: DataFrame) -> DataFrame:
