@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -61,6 +62,37 @@ def test_groups_of_every_similarity_equal_brute_force(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("block_sets", [16, 1024])
+def test_many_small_sets_with_a_common_shingle(spark, block_sets):
+    """Texts that only share a phrase meet in large buckets, stay apart, and links among them are still found."""
+    rng = random.Random(4)
+    rows = [(i, f"click here to read more x{rng.randrange(900)}") for i in range(1200)]
+    rows += [(5000 + i, f"{' '.join(f'p{k}' for k in range(40))} tail{i % 150} end{i}") for i in range(300)]
+    rng.shuffle(rows)
+    got = neardup.near_duplicates(documents(spark, rows), neardup.NearDupOptions(block_sets=block_sets)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+
+
+def test_a_full_block_needs_little_memory():
+    """The largest block of a bucket: its matrices grow with the sets, which are bounded too."""
+    options = neardup.NearDupOptions()
+    n = 2 * options.block_sets  # a pair of blocks
+    sets = [np.array([1, 10 + i], np.uint64) for i in range(n)]
+    numbers = np.arange(n)
+    tracemalloc.start()
+    assert neardup._forest(numbers, numbers, numbers % 2, sets, True, options.percent) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+def test_clashing_columns_and_ids(spark):
+    docs = documents(spark, [(1, "one two three four five six"), (2, "one two three four five six"), (None, "")]).selectExpr("*", "1 AS _id", "2 AS _hash", "3 AS _own_hash", "4 AS component")
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == ["1", "None"]
+
+
 def test_one_of_each_group_stays(spark, odd_rows):
     docs = documents(spark, odd_rows)
     kept = neardup.drop_near_duplicates(docs)

@@ -31,12 +31,24 @@ def text_batches(df: DataFrame) -> DataFrame:
 
 
 def stored_in_batches(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` stored now, with at most ``rows`` rows per Arrow batch."""
+    """``df`` stored now, with at most ``rows`` rows per Arrow batch; the session's own setting comes back."""
+    before = df.sparkSession.conf.get(_BATCH_ROWS)
     df.sparkSession.conf.set(_BATCH_ROWS, str(rows))
     try:
         return cut_lineage(df)
     finally:
-        df.sparkSession.conf.set(_BATCH_ROWS, str(TEXT_BATCH_ROWS))
+        df.sparkSession.conf.set(_BATCH_ROWS, before)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has a column of that name."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def n_words(text: Column) -> Column:

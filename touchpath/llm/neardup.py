@@ -6,7 +6,9 @@ serves one coordinate, so all fill). Equal bands of coordinates make candidates.
 
 Documents with equal sets form one node. Within a band's bucket no pair list is made: first every node is
 compared with one smallest node of its buckets, which joins groups of copies; then only buckets whose nodes are not yet
-connected are compared in full, in bounded blocks that give no more links than connect them.
+connected are compared in full, in bounded blocks that give no more links than connect them. The nodes of larger open
+buckets first meet by their rare shingles: two similar sets share one of the rarest of each, so nodes that have only
+a frequent phrase in common are never compared.
 """
 
 from __future__ import annotations
@@ -20,20 +22,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchpath.llm.common import stored_in_batches, text_batches
+from touchpath.llm.common import fresh, stored_in_batches, text_batches
 from touchpath.llm.components import components
 from touchpath.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class NearDupOptions:
-    """A pair at the similarity limit of 75 % shares none of 64 bands of 6 coordinates with probability 4e-6."""
+    """A pair at the similarity limit of 75 % shares none of 48 bands of 5 coordinates with probability 2.3e-6.
+
+    A block, which one task compares as a whole, has about ``block`` shingles and ``block_sets`` sets at most.
+    """
 
     words: int = 5
     percent: int = 75
-    bands: int = 64
-    rows: int = 6
-    block: int = 65_536  # shingles of a block of a bucket
+    bands: int = 48
+    rows: int = 5
+    block: int = 65_536
+    block_sets: int = 1_024
 
 
 OPTIONS = NearDupOptions()
@@ -196,19 +202,54 @@ def _forest(nodes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sets: lis
     return links
 
 
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``key``, ``node``, ``component``: the ``nodes`` under each of their rare shingles.
+
+    A set x that is similar to y shares at least ceil(percent of its size) shingles with it. So whatever order the
+    shingles have, both have one of their first ``size - ceil(...) + 1`` in common; by rarity, those keys are small.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in items])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.empty(0, np.int64), *items]))], ["node", "key"])
+
+    found = cut_lineage(text_batches(sets.join(nodes.select("node"), "node", "left_semi")).mapInArrow(spread, "node long, key long"))
+    frequent = found.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    sizes = found.groupBy("node").agg(F.count("*").alias("size"))
+    shared = found.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    # Shingles of one set alone come before all others, and lead nowhere.
+    first = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 - (size - size(keys)) as int)")
+    keys = shared.join(sizes, "node").withColumn("first", first).where("first > 0")
+    keys = keys.select("node", F.explode(F.expr("slice(keys, 1, first).key")).alias("key"))
+    return keys.join(nodes, "node").select("key", "node", "component")
+
+
 def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, options: NearDupOptions) -> DataFrame:
     """Links between different components within the buckets, stored.
 
-    A bucket that still holds several components is dealt into blocks of about ``block`` shingles, and every pair of blocks
-    is compared on full sets as one bounded group.
+    A bucket that still holds several components is compared on full sets as one bounded group. The nodes of buckets that
+    are too large for that are grouped anew by their rare shingles; of a key that is still too large every pair of
+    blocks is compared.
     """
     rows = cut_lineage(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    ends = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_keys = cut_lineage(ends.where("low <> high").select("key"))
-    n_blocks = F.expr(f"cast(ceil(shingles / {options.block}.0) as int)")
-    rows = rows.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).join(sets, "node")
-    groups = rows.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        ends = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("shingles").alias("total"))
+        blocks = F.expr(f"cast(ceil(greatest(total / {options.block}.0, n / {options.block_sets}.0)) as int)")
+        return ends.where("low <> high").select("key", blocks.alias("blocks"))
+
+    keys = cut_lineage(still_open(rows))
+    rows = rows.join(keys, "key")
+    large = cut_lineage(rows.where("blocks > 1").select("node", "component").distinct())
+    sizes = sets.select("node", F.expr("octet_length(items) div 8").alias("shingles"))
+    rare = cut_lineage(_by_rare_shingles(large, sets, options.percent).join(sizes, "node"))
+    rare = rare.join(cut_lineage(still_open(rare)), "key")
+    rows = rows.where("blocks = 1").withColumn("rare", F.lit(False)).unionByName(rare.withColumn("rare", F.lit(True)))
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sets, "node")
+    groups = rows.groupBy("rare", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     lists = groups.agg(F.collect_list(F.struct("node", "component", "block", "items")).alias("rows")).where(F.size("rows") > 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +282,9 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions = OPTIONS) -> DataF
     classes = cut_lineage(worded.groupBy(*prints).agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id")))
     first = worded.withColumnRenamed("uid", "node").join(classes.select("node"), "node", "left_semi")
     first = cut_lineage(first.select("node", "doc_id", "text_hash", "n_shingles", "keys"))
-    keys = first.select(F.explode("keys").alias("key"), "node", "n_shingles")
-    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    members = cut_lineage(keys.drop("n_shingles").join(cut_lineage(buckets.where("n > 1").drop("n")), "key"))
+    keys = first.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("shingles"))
+    buckets = cut_lineage(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last"))
+    members = cut_lineage(keys.join(buckets, "key"))
     wanted = first.select("doc_id", "text_hash", "node").join(members.select("node").distinct(), "node", "left_semi")
     sets = _sets(docs, wanted, options)
     # One comparison for each node joins most groups; what a bucket still holds apart is then compared in full.
@@ -265,8 +306,9 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions = OPTIONS) -> DataF
 def drop_near_duplicates(docs: DataFrame, options: NearDupOptions = OPTIONS) -> DataFrame:
     """``docs`` with all their columns, one row of each component: of its smallest id, and of several such rows the one
     with the smallest hash of its text. Documents without words all stay, but equal rows among them once."""
-    kept = near_duplicates(docs, options).where("kept").groupBy("component").agg(F.first("doc_id").alias("_id"), F.min("text_hash").alias("_hash"))
-    kept = cut_lineage(kept.select("_id", "_hash").distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
-    rows = docs.withColumn("_own_hash", F.xxhash64(F.col("text").cast("string"))).join(kept, same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "_own_hash"]).select(*docs.columns)
+    id_, hash_, own = fresh(docs, "_id", "_hash", "_own_hash")
+    kept = near_duplicates(docs, options).where("kept").groupBy("component").agg(F.first("doc_id").alias(id_), F.min("text_hash").alias(hash_))
+    kept = cut_lineage(kept.select(id_, hash_).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_))
+    rows = docs.withColumn(own, F.xxhash64(F.col("text").cast("string"))).join(kept, same, "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
