@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchpath.llm import lines, mixing, neardup, packing, passages, quality, repetition, search, toxicity, urls
+from touchpath.llm import conversations, lines, lmscore, mixing, neardup, packing, passages, quality, repetition, runs, search, toxicity, urls
 from touchpath.llm.common import crc32_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,20 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_search"] = search.ORACLE_SQL
+
+
+@query
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc32_of(F.col("doc_id")) % 7 == 2
+    scores = lmscore.language_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"), change=runs.repeat_tail)
