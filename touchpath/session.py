@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the plans count on. Partition counts are left to the cluster: AQE
@@ -40,17 +42,40 @@ def local_session(cpus: int | str = 8, **extra: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Where that is not set, as in a local trial, it lies in the warehouse, which is
-    shared as well; a folder of one machine would not survive the loss of an executor.
+    ``spark.checkpoint.dir`` names it. Where that is not set, a local session takes its warehouse; on a cluster a warehouse
+    that is a folder of one machine is an error, since it would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_intermediate")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if not sc.master.startswith("local") and warehouse.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = f"{warehouse}/_intermediate"
+        sc.setCheckpointDir(folder)
+        _delete_on_exit(spark, sc.getCheckpointDir())
     return sc.getCheckpointDir()
 
 
+def _delete_on_exit(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a compressed table in the shared folder, where later reads prune its columns.
+
+    The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(folder)
+    _delete_on_exit(spark, folder)
+    return spark.read.parquet(folder)
