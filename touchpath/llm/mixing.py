@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchpath.llm.common import WORD, n_words
+from touchpath.llm.common import WORD, fresh, n_words
 from touchpath.llm.prefix import running_total, uniform_key
 from touchpath.session import cut_lineage
 
@@ -104,24 +104,46 @@ def mix_documents(docs: DataFrame, options: MixOptions = OPTIONS) -> DataFrame:
     """The mix itself: ``docs`` with all their columns, each row once per epoch that takes it.
 
     The row in which a source's budget ends comes with its first words only; ``n_chars``, if there is one, then follows
-    the text. Rows equal in source, id and size share what the last pass takes of them evenly. Rows without a word are
-    not in the mix. Other cases as in ``mix``.
+    the text. Of rows equal in source, id and size the last pass takes one after the other, as ``mix`` says. Rows without
+    a word are not in the mix. Other cases as in ``mix``.
+
+    Only the rows among which a budget ends, one group of equal rows of a source at most, are numbered; they are stored first.
     """
+    names = ["unnamed", "source", "id", "size", "epochs", "part", "rows", "cut", "number", "place", "take"]
+    own = dict(zip(names, fresh(docs, *(f"_mix_{n}" for n in names)), strict=True))
     part = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest"))).cast("long")
-    taken = _taken(docs, options).select(*_GROUP, F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "epochs", part.alias("part"), "rows")
-    taken = taken.withColumn("passes", F.concat(F.array_repeat("_size", F.col("epochs").cast("int")), F.array(F.expr("part div rows"))))
-    taken = cut_lineage(taken.select(*_GROUP, "_id", "_size", F.explode(F.filter("passes", lambda n: n > 0)).alias("_take")))
-    rows = docs.withColumns({
-        "_own_unnamed": F.col("source").isNull(), "_own_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "_own_size": n_words(F.col("text").cast("string")),
-    })
-    same = (
-        (F.col("_own_unnamed") == F.col("_unnamed")) & (F.col("_own_source") == F.col("_source"))
-        & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_size") == F.col("_size"))
-    )
+    taken = _taken(docs, options).select(
+        F.col("_unnamed").alias(own["unnamed"]), F.col("_source").alias(own["source"]), F.col("doc_id").alias(own["id"]),
+        F.col("size").alias(own["size"]), F.col("epochs").alias(own["epochs"]), part.alias(own["part"]), F.col("rows").alias(own["rows"]),
+        ((F.col("rows") > 1) & (part > 0) & (part < F.col("words"))).alias(own["cut"]),
+    ).where(F.col(own["size"]) > 0)
+    taken = cut_lineage(taken)
+    size = F.col(own["size"])
+
+    def met(groups: DataFrame) -> DataFrame:
+        same = (
+            (F.col("source").isNull() == F.col(own["unnamed"])) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(own["source"]))
+            & F.col("doc_id").cast("long").eqNullSafe(F.col(own["id"])) & (n_words(F.col("text").cast("string")) == size)
+        )
+        return docs.join(groups, same)
+
+    def passes(rows: DataFrame, last: Column) -> DataFrame:
+        takes = F.concat(F.array_repeat(size, F.col(own["epochs"]).cast("int")), F.array(last.cast("long")))
+        return rows.select(*docs.columns, size, F.explode(F.filter(takes, lambda n: n > 0)).alias(own["take"]))
+
+    whole = passes(met(taken.where(~F.col(own["cut"]))), F.expr(f"`{own['part']}` div `{own['rows']}`"))
+    ends = cut_lineage(met(taken.where(own["cut"])).withColumn(own["number"], F.monotonically_increasing_id()))
+    narrow = ends.select(*(F.col(own[c]).alias(f"_{c}") for c in ("unnamed", "source", "number")), F.lit(1).cast("long").alias("_one"))
+    narrow = cut_lineage(narrow.withColumn("key", uniform_key(F.col("_number"))))
+    counts = cut_lineage(narrow.groupBy(*_GROUP).agg(F.count("*").alias("n")))
+    order = running_total(narrow, counts, _GROUP, "key", ["_number"], "_one", "_place")
+    ends = ends.join(order.select(F.col("_number").alias(own["number"]), F.col("_place").alias(own["place"])), own["number"])
+    last = F.greatest(F.lit(0), F.least(size, F.col(own["part"]) - F.col(own["place"]) * size))
+    whole = whole.unionByName(passes(ends, last))
+    take = F.col(own["take"])
     pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    text = F.when(F.col("_take") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_take").cast("int")), ""))
-    mixed = rows.join(taken, same).withColumn("text", text)
+    text = F.when(take >= size, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), take.cast("int")), ""))
+    mixed = whole.withColumn("text", text)
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(*docs.columns)
