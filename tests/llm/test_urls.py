@@ -49,6 +49,13 @@ def test_random_graph_with_a_hub_equals_duckdb(spark):
     compare(spark, rows)
 
 
+def test_a_long_chain_is_followed_to_its_end(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(25)] + [(25, "http://h25.net/", '<a href="http://bad.com/">')]
+    rows += [(99, "http://bad.com/de/", ""), (100, "http://far.net/", "")]
+    got = compare(spark, rows)
+    assert {got[i][4] for i in range(26)} == {"block"} and got[100][4] == "allow"
+
+
 def test_scores_equal_brute_force(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("b", "e")]
     seeds = [("trust", "a"), ("trust", "d"), ("distrust", "e")]
@@ -57,13 +64,13 @@ def test_scores_equal_brute_force(spark):
         ways = edges if kind == "trust" else [(b, a) for a, b in edges]
         start = {h: 1 / sum(k == kind for k, _ in seeds) for k, h in seeds if k == kind}
         state = dict(start)
-        for _ in range(10):
+        for _ in range(200):
             new = {h: 0.15 * s for h, s in start.items()}
             for a, b in ways:
                 new[b] = new.get(b, 0) + 0.85 * state.get(a, 0) / sum(x == a for x, _ in ways)
             state = new
         for host, score in state.items():
-            assert got[host][at] == pytest.approx(score)
+            assert got[host][at] == pytest.approx(score, abs=1e-5)
 
 
 def test_empty_table_and_other_rules(spark):

@@ -41,7 +41,7 @@ class UrlOptions:
         Rule("block", "com", "/de/"),
     )
     damping: float = 0.85
-    rounds: int = 10
+    tolerance: float = 1e-6  # of the summed change of all scores in a round; each kind has a mass of at most 1
     limit: float = 0.5  # blocked above this share of distrust
 
 
@@ -81,9 +81,11 @@ def host_edges(judged: DataFrame) -> DataFrame:
 
 
 def host_scores(edges: DataFrame, seeds: DataFrame, options: UrlOptions = OPTIONS) -> DataFrame:
-    """``host``, ``trust`` and ``distrust`` of every host that mass reaches, after ``rounds`` rounds.
+    """``host``, ``trust`` and ``distrust`` of every host that mass reaches, however far.
 
-    ``seeds`` has ``kind`` (trust or distrust) and ``host``, each once. A walk that finds no way on ends there.
+    ``seeds`` has ``kind`` (trust or distrust) and ``host``, each once. A walk that finds no way on ends there. Rounds go on
+    until one reaches no new host and changes all scores together by less than ``tolerance``; two numbers a round meet on
+    the driver.
     """
     edges = cut_lineage(edges)
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src")))
@@ -91,11 +93,17 @@ def host_scores(edges: DataFrame, seeds: DataFrame, options: UrlOptions = OPTION
     arcs = cut_lineage(ways.join(degrees, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.lit(options.damping) / F.col("ways")).alias("share")))
     totals = seeds.groupBy("kind").agg(F.count("*").alias("n"))  # two rows
     start = cut_lineage(seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.lit(1.0) / F.col("n")).alias("score")))
-    home = start.select("kind", "host", (F.col("score") * (1 - options.damping)).alias("score"))
+    home = start.select("kind", "host", (F.col("score") * (1 - options.damping)).alias("score"), F.lit(0.0).alias("before"))
     state = start
-    for _ in range(options.rounds):
-        moved = state.join(arcs, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-        state = cut_lineage(moved.union(home).groupBy("kind", "host").agg(F.sum("score").alias("score")))
+    while True:
+        moved = state.join(arcs, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"), F.lit(0.0).alias("before"))
+        kept = state.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before"))
+        found = moved.union(home).union(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before"))
+        found = cut_lineage(found)
+        change, new = found.agg(F.sum(F.abs(F.col("score") - F.col("before"))), F.count_if(F.col("before") == 0)).first()
+        state = found.drop("before")
+        if not new and (change is None or change < options.tolerance):
+            break
 
     def of(kind: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
@@ -124,17 +132,22 @@ def filter_urls(pages: DataFrame, options: UrlOptions = OPTIONS) -> DataFrame:
 
 
 def oracle_sql(options: UrlOptions = OPTIONS) -> str:
-    """The same for DuckDB, the rounds written out."""
+    """The same for DuckDB, as a recursion with the same end."""
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
     quoted = LINK.replace("'", "''")
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in options.rules)
-    steps = "s0 AS MATERIALIZED (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS score FROM seeds)"
-    for i in range(options.rounds):
-        steps += f""", s{i + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (
-          SELECT kind, dst AS host, score * share AS score FROM s{i} JOIN arcs USING (kind, host)
-          UNION ALL SELECT kind, host, score * {1 - options.damping!r}::DOUBLE FROM s0) GROUP BY ALL)"""
+    steps = f"""home AS MATERIALIZED (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS score FROM seeds),
+    state(round, kind, host, score, moving) AS (
+      SELECT 0, kind, host, score, true FROM home
+      UNION ALL
+      SELECT round, kind, host, score, bool_or(before = 0) OVER () OR sum(abs(score - before)) OVER () >= {options.tolerance!r} FROM (
+        SELECT max(round) + 1 AS round, kind, host, sum(score) AS score, sum(before) AS before FROM (
+          SELECT s.round, s.kind, a.dst AS host, s.score * a.share AS score, 0.0::DOUBLE AS before FROM state s JOIN arcs a USING (kind, host) WHERE s.moving
+          UNION ALL SELECT s.round, s.kind, s.host, h.score * {1 - options.damping!r}::DOUBLE, 0.0 FROM state s JOIN home h USING (kind, host) WHERE s.moving
+          UNION ALL SELECT s.round, s.kind, s.host, 0.0, s.score FROM state s WHERE s.moving
+        ) GROUP BY kind, host))"""
     return f"""
-    WITH cut AS (
+    WITH RECURSIVE cut AS (
       SELECT row_number() OVER () AS row, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
     ), named AS MATERIALIZED (
       SELECT row, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
@@ -152,7 +165,7 @@ def oracle_sql(options: UrlOptions = OPTIONS) -> str:
     ), ways AS (SELECT 'trust' AS kind, src AS host, dst FROM edges UNION ALL SELECT 'distrust', dst, src FROM edges
     ), arcs AS MATERIALIZED (SELECT kind, host, dst, {options.damping!r}::DOUBLE / count(*) OVER (PARTITION BY kind, host) AS share FROM ways
     ), {steps}, suspects AS (
-      SELECT host FROM s{options.rounds} GROUP BY host
+      SELECT host FROM state WHERE round = (SELECT max(round) FROM state) GROUP BY host
       HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > {options.limit!r} * sum(score)
     )
     SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM suspects) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
