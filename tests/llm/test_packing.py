@@ -10,10 +10,12 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.conftest import documents
 from touchpath.llm import packing, queries
+from touchpath.llm.prefix import uniform_key
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +34,24 @@ def test_ids_of_special_and_odd_texts(tokenizer):
         assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n", "\u3000", "\x1c "])
+def test_ids_of_very_long_blank_runs(tokenizer, blank):
+    run = blank * (2_000_000 // len(blank) if blank in " \n\t" else 30_000)
+    for text in (run, f"a{run}b", f"a{run}\n{run}<|endoftext|>{run} b"):
+        text = text if len(text) < 2_100_000 else text[:2_000_003]
+        assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_without_an_id_spread_over_all_slices(spark):
+    """200,000 equal rows: no id gathers them."""
+    rows = spark.range(200_000).selectExpr("cast(null as long) AS doc_id", "0 AS piece", "1L AS length")
+    key = rows.withColumn("key", uniform_key(F.monotonically_increasing_id()))
+    slices = key.groupBy((F.col("key") / 2**52).cast("int")).count().collect()
+    assert len(slices) == 256 and max(r["count"] for r in slices) < 1100
+    packed = packing.pack(rows)
+    assert packed.agg(F.countDistinct("sequence_id", "offset"), F.max("sequence_id")).first() == (200_000, -(-200_000 // 2048) - 1)
+
+
 @pytest.mark.parametrize("clashing", [False, True])
 def test_round_trip(spark, odd_rows, tokenizer, clashing):
     got = queries.packed(documents(spark, odd_rows, clashing)).collect()

@@ -9,6 +9,7 @@ which is what filling equal bins one by one would do. The pieces then look up th
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,6 +39,8 @@ class PackOptions:
 OPTIONS = PackOptions()
 #: Fixed values of the vocabulary: its one special token, an id of its own where it stands in a text.
 SPECIAL = {"<|endoftext|>": 50256}
+#: White space as the vocabulary's pattern knows it, in runs that its matcher, which backtracks, could not hold.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
 
 
 @lru_cache(maxsize=1)
@@ -53,7 +56,23 @@ def encoder(vocabulary: str | None = None) -> Callable[[str], list[int]]:
     with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-    return lambda text: encoding.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        """A long run of white space is cut where the pattern cuts: its last character goes with what follows."""
+        ids, start = [], 0
+        for run in _LONG_BLANK.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += encoding.encode(text[start : run.start()], allowed_special="all")
+            ids += _blank_ids(encoding, text[run.start() : end])
+            start = end
+        return ids + encoding.encode(text[start:], allowed_special="all")
+
+    return encode
+
+
+def _blank_ids(encoding, run: str) -> list[int]:
+    """Ids of one piece of white space, without the pattern."""
+    return encoding._encode_single_piece(run)
 
 
 def token_pieces(docs: DataFrame, options: PackOptions = OPTIONS, narrow: bool = False) -> DataFrame:
@@ -155,11 +174,12 @@ def pack(pieces: DataFrame, options: PackOptions = OPTIONS) -> DataFrame:
 
     No sequence is longer than ``capacity``; offsets leave no gap; sequences are numbered from 0. ``pieces`` is stored
     first, since its histogram and its rows must be of one run. Pieces of one length are told apart by a hash of
-    (``doc_id``, ``piece``); which of several equal rows goes where is open. A length above ``capacity`` or below 1 is
-    an error; an empty table gives no rows. Only the histogram (``capacity`` rows at most) meets on the driver, and goes
-    to every task, so that the rows move once. Binary ``ids`` of 16 bits come out with 32.
+    their place in the stored table, so no id, null or repeated, gathers rows; which of them goes where is open. A
+    length above ``capacity`` or below 1 is an error; an empty table gives no rows. Only the histogram (``capacity``
+    rows at most) meets on the driver, and goes to every task, so that the rows move once. Binary ``ids`` of 16 bits
+    come out with 32.
     """
-    stored = cut_lineage(pieces.withColumn("_key", uniform_key(F.col("doc_id"), F.col("piece"))))
+    stored = cut_lineage(pieces.withColumn("_key", uniform_key(F.monotonically_increasing_id())))
     counts = cut_lineage(stored.groupBy("length").agg(F.count("*").alias("n")))
     if counts.where(~F.col("length").between(1, options.capacity) | F.col("length").isNull()).count():
         raise ValueError("a piece must have 1 to capacity tokens")
