@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 import __spark_entry__ as entry
 from llm.conftest import documents, words
@@ -76,6 +77,49 @@ def test_whole_texts_count(spark):
     assert got[2] > got[1]
 
 
+def test_ratios_equal_counting(spark):
+    """Log-count ratios of whole training texts, by sets of byte n-grams."""
+    rows, labels = corpus(8, True)
+    rows[0] = (0, words(random.Random(1), 20_000, 30_000) + " idiot")
+    options = toxicity.ToxicityOptions(lengths=(3, 4), bits=18)
+    docs, frame = documents(spark, rows), spark.createDataFrame(labels, LABELS)
+    counts = toxicity._counts(labelled_sample(docs, frame, 2000), options)
+    grams = {d: {g for n in options.lengths for g in zip(*(f" {t} ".encode()[i:] for i in range(n)), strict=False)} for d, t in rows}
+    number = {g: next(iter(toxicity.features(bytes(g), toxicity.ToxicityOptions(lengths=(len(g),), bits=18))))[0] for g in set().union(*grams.values())}
+    want = np.zeros_like(counts)
+    for d, y in labels:
+        want[y, sorted({int(number[g]) for g in grams[d]})] += 1
+    want[:, want.sum(axis=0) < options.min_rows] = 0
+    assert (counts == want).all()
+    n = np.array([sum(y == k for _, y in labels) for k in (0, 1)], float)
+    ratio, used = toxicity.log_count_ratios(counts, n, options)
+    at = int(number[tuple(b"idio")])
+    assert ratio[at] == pytest.approx(np.log((want[1, at] + 1) / (n[1] + 2) / ((want[0, at] + 1) / (n[0] + 2)))) and used[at]
+
+
+def test_sizes_equal_plain_compression():
+    """Compressed sizes of whole texts, piece by piece, by direct calls of zstandard."""
+    rng = random.Random(3)
+    good, bad = ([words(rng, 150, 300).encode()[:1024] for _ in range(200)] for _ in range(2))
+    model = quality.CompressionModel(good, bad)
+    for text in (words(rng, 5000, 300), "x", "", "é" * 3000):
+        data, want = text.encode(), [len(text.encode())]
+        for content in (model.good, model.bad):
+            tool = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            want.append(sum(len(tool.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)))
+        plain, *sizes = model.sizes(text)
+        assert plain == want[0] and all(abs(a - b) <= 0.01 * b + 8 for a, b in zip(sizes, want[1:], strict=True))
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells the classes apart stands behind the first 100,000 bytes of every training text."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, 16_000, 200) + (" foul idiot worthless moron" * 4 if i % 2 else " kind words and thanks" * 4)) for i in range(40)]
+    docs, frame = documents(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(40)], LABELS)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, toxicity.train(docs, frame)).collect()}
+    assert got == {i: i % 2 for i in range(40)}
+
+
 def test_filter_keeps_columns(spark, odd_rows):
     rows, labels = corpus(6, False)
     model = quality.train(documents(spark, rows), spark.createDataFrame(labels, LABELS))
@@ -89,8 +133,11 @@ def test_filter_keeps_columns(spark, odd_rows):
 def test_sample_is_bounded_weighted_and_stable(spark):
     rows, labels = corpus(7, True)
     got = labelled_sample(documents(spark, rows), spark.createDataFrame(labels, LABELS), 50)
-    assert [sum(y == k for _, y, _ in got) for k in (0, 1)] == [50, 50]
-    shares = [sum(w for _, y, w in got if y == k) for k in (0, 1)]
+    got = got.collect()
+    assert [sum(r.label == k for r in got) for k in (0, 1)] == [50, 50]
+    shares = [sum(r.weight for r in got if r.label == k) for k in (0, 1)]
+    texts = dict(rows)
+    assert all(r.text == texts[r.doc_id] for r in got)
     assert shares[0] / shares[1] == pytest.approx(sum(y == 0 for _, y in labels) / sum(y for _, y in labels))
 
 

@@ -24,11 +24,12 @@ from touchpath.llm.training import fit_logistic, labelled_sample, sigmoid
 class QualityOptions:
     """``rows_per_class`` bounds the labelled rows read for training; half builds dictionaries, half calibrates.
 
-    Texts are compressed whole, in pieces of ``piece_bytes``, so that a long text cannot outgrow the dictionary.
+    Texts are compressed whole, in pieces of ``piece_bytes``, so that a long text cannot outgrow the dictionary. A class's
+    dictionary is built from at most ``pieces_per_class`` pieces, drawn by hash from all pieces of its whole texts.
     """
 
     rows_per_class: int = 1500
-    text_bytes: int = 32_768  # of a training text; scoring reads texts whole
+    pieces_per_class: int = 6000
     piece_bytes: int = 1024
     dictionary_bytes: int = 65_536
     level: int = 3
@@ -42,23 +43,21 @@ def _pieces(data: bytes, size: int) -> list[bytes]:
     return [data[i : i + size] for i in range(0, len(data), size)]
 
 
-def _dictionary(texts: Iterable[str], options: QualityOptions) -> bytes:
-    """A trained dictionary; the texts themselves where there are too few to train on."""
-    pieces = [p for text in texts for p in _pieces(text.encode()[: options.text_bytes], options.piece_bytes)]
+def _dictionary(pieces: list[bytes], options: QualityOptions) -> bytes:
+    """A trained dictionary. From too few or too different pieces zstandard builds none: then their raw content serves."""
     size = min(options.dictionary_bytes, sum(map(len, pieces)) // 2)
-    if len(pieces) >= 64:
-        try:
-            return zstandard.train_dictionary(size, pieces).as_bytes()
-        except zstandard.ZstdError:
-            pass  # the trainer finds nothing in common: use the raw content
-    return b"".join(pieces)[-options.dictionary_bytes :]
+    try:
+        return zstandard.train_dictionary(size, pieces).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(pieces)[-options.dictionary_bytes :]
 
 
 class CompressionModel:
     """Two dictionaries and the weights of the calibration; small enough to send with the tasks."""
 
-    def __init__(self, good: bytes, bad: bytes, options: QualityOptions = OPTIONS):
-        self.good, self.bad, self.options = good, bad, options
+    def __init__(self, good: list[bytes], bad: list[bytes], options: QualityOptions = OPTIONS):
+        """From pieces of good and of bad texts."""
+        self.good, self.bad, self.options = _dictionary(good, options), _dictionary(bad, options), options
         self.weights = np.zeros(7)
 
     def __getstate__(self) -> dict:
@@ -93,15 +92,44 @@ class CompressionModel:
         return np.where(blank, 0.0, sigmoid(self.features(texts) @ self.weights))
 
 
+def _drawn(rows: DataFrame, label: int, options: QualityOptions) -> list[bytes]:
+    """Pieces of the texts of ``label``, drawn by hash: a bounded top-k of all of them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_pieces(text.encode(), options.piece_bytes), pa.binary())], ["piece"])
+
+    pieces = text_batches(rows.where(F.col("label") == label).select("text")).mapInArrow(cut, "piece binary")
+    chosen = pieces.orderBy(F.xxhash64("piece"), "piece").limit(options.pieces_per_class)
+    return [bytes(r["piece"]) for r in chosen.collect()]
+
+
+def _measured(rows: DataFrame, model: CompressionModel) -> list:
+    """(features, label, weight) of every row; the texts stay in the tasks."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = model.features(batch.column(0).to_pylist()).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), *batch.columns[1:]], ["features", "label", "weight", "doc_id"])
+
+    source = text_batches(rows.select("text", "label", "weight", "doc_id"))
+    found = source.mapInArrow(measure, "features array<double>, label int, weight double, doc_id long").collect()
+    return sorted(found, key=lambda r: (r["doc_id"], r["label"]))
+
+
 def train(docs: DataFrame, labels: DataFrame, options: QualityOptions = OPTIONS) -> CompressionModel:
-    """Fit on at most ``rows_per_class`` rows of ``labels`` (``doc_id``, ``label`` 0 or 1) of each class."""
+    """Fit on at most ``rows_per_class`` rows of ``labels`` (``doc_id``, ``label`` 0 or 1) of each class.
+
+    Half of them by hash build the dictionaries, the others calibrate (all, if a half is empty).
+    """
     rows = labelled_sample(docs, labels, options.rows_per_class)
-    build, check = rows[0::2], rows[1::2] or rows
-    model = CompressionModel(*(_dictionary((t for t, y, _ in build if y == k), options) for k in (1, 0)), options)
-    if rows:
-        model.weights = fit_logistic(
-            model.features(t for t, _, _ in check), np.array([y for _, y, _ in check]), np.array([w for _, _, w in check])
-        )
+    half = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2))
+    build, check = rows.where(half == 0), rows.where(half == 1)
+    model = CompressionModel(*(_drawn(build, k, options) for k in (1, 0)), options)
+    found = _measured(check, model) or _measured(rows, model)
+    if found:
+        model.weights = fit_logistic(*(np.array([r[c] for r in found]) for c in ("features", "label", "weight")))
     return model
 
 

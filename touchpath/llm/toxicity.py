@@ -16,7 +16,7 @@ from touchpath.llm.training import labelled_sample, sigmoid
 
 @dataclass(frozen=True)
 class ToxicityOptions:
-    """``rows_per_class`` bounds the labelled rows read for training, ``text_bytes`` a training text.
+    """``rows_per_class`` bounds the labelled rows read for training; their texts are read whole, in the tasks.
 
     n-grams of bytes are hashed into ``2 ** bits`` features; those in fewer than ``min_rows`` training rows or with a
     log-count ratio below ``min_ratio``, or whose shares in the classes differ by less than ``min_deviations`` standard
@@ -24,7 +24,6 @@ class ToxicityOptions:
     """
 
     rows_per_class: int = 2000
-    text_bytes: int = 65_536
     lengths: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 20
     min_rows: int = 4
@@ -74,32 +73,68 @@ class NgramModel:
         return total
 
 
-def _fit(rows: list[tuple[str, int, float]], options: ToxicityOptions) -> NgramModel:
-    model = NgramModel(options)
-    present = [np.unique(np.concatenate([np.empty(0, np.uint64), *features(_normal(t)[: options.text_bytes], options)])).astype(np.int64) for t, _, _ in rows]
-    y = np.array([label for _, label, _ in rows], dtype=np.float64)
+def present(text: str | None, options: ToxicityOptions) -> np.ndarray:
+    """Distinct feature numbers of a whole text."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *features(_normal(text), options)])).astype(np.int64)
+
+
+def _counts(rows: DataFrame, options: ToxicityOptions) -> np.ndarray:
+    """Rows of each class that hold each feature; features of fewer than ``min_rows`` rows count 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, 1 << options.bits), dtype=np.int64)
+        for batch in batches:
+            for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found[label, present(text, options)] += 1
+        at = np.flatnonzero(found.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[0, at]), pa.array(found[1, at])], ["feature", "n0", "n1"])
+
+    parts = text_batches(rows.select("text", "label")).mapInArrow(count, "feature long, n0 long, n1 long")
+    sums = parts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= options.min_rows).toArrow()
     counts = np.zeros((2, 1 << options.bits))
-    for numbers, label in zip(present, y, strict=True):
-        counts[int(label), numbers] += 1
-    shares = (counts + 1) / (np.array([(y == 0).sum(), (y == 1).sum()])[:, None] + 2)
+    counts[0, sums["feature"].to_numpy()], counts[1, sums["feature"].to_numpy()] = sums["n0"].to_numpy(), sums["n1"].to_numpy()
+    return counts
+
+
+def log_count_ratios(counts: np.ndarray, rows: np.ndarray, options: ToxicityOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Ratio of every feature, and which features are used; ``rows`` are the training rows of each class."""
+    shares = (counts + 1) / (rows[:, None] + 2)
     ratio = np.log(shares[1] / shares[0])
-    seen = counts.sum(axis=0)
+    seen, n = counts.sum(axis=0), rows.sum()
     used = (seen >= options.min_rows) & (np.abs(ratio) >= options.min_ratio)
-    if 0 < y.sum() < len(y):
-        spread = seen / len(y) * (1 - seen / len(y)) * (1 / y.sum() + 1 / (len(y) - y.sum()))
+    if rows.all():
+        spread = seen / n * (1 - seen / n) * (1 / rows[1] + 1 / rows[0])
         used &= np.abs(shares[1] - shares[0]) >= options.min_deviations * np.sqrt(spread)
-    number = np.full(1 << options.bits, -1, dtype=np.int64)
+    return ratio, used
+
+
+def _columns(rows: DataFrame, used: np.ndarray, options: ToxicityOptions) -> list:
+    """(label, numbers among the used features) of every row."""
+    number = np.full(len(used), -1, dtype=np.int32)
     number[used] = np.arange(int(used.sum()))
-    columns = [number[p][number[p] >= 0] for p in present]
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
-    column = np.concatenate([np.empty(0, np.int64), *columns])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [number[present(text, options)] for text in batch.column(0).to_pylist()]
+            lists = pa.array([x[x >= 0].tolist() for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1), batch.column(2)], ["features", "label", "doc_id"])
+
+    found = text_batches(rows.select("text", "label", "doc_id")).mapInArrow(look, "features array<int>, label int, doc_id long").collect()
+    return sorted(found, key=lambda r: (r["doc_id"], r["label"]))
+
+
+def _fit(found: list, ratio: np.ndarray, used: np.ndarray, options: ToxicityOptions) -> NgramModel:
+    model = NgramModel(options)
+    y = np.array([r["label"] for r in found], dtype=np.float64)
+    row = np.repeat(np.arange(len(found)), [len(r["features"]) for r in found])
+    column = np.concatenate([np.empty(0, np.int64), *(np.array(r["features"], np.int64) for r in found)])
     value = ratio[used][column]
     coefficients, constant = np.zeros(int(used.sum())), 0.0
     # Adam on the whole bounded sample, both classes of equal weight.
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     first, second, step = np.zeros(len(coefficients) + 1), np.zeros(len(coefficients) + 1), 0.05
     for t in range(1, 201):
-        margin = np.bincount(row, coefficients[column] * value, len(rows)) + constant
+        margin = np.bincount(row, coefficients[column] * value, len(found)) + constant
         error = balance * (sigmoid(margin) - y)
         gradient = np.append(np.bincount(column, error[row] * value, len(coefficients)) + options.penalty * coefficients, error.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
@@ -112,9 +147,16 @@ def _fit(rows: list[tuple[str, int, float]], options: ToxicityOptions) -> NgramM
 
 
 def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = OPTIONS) -> NgramModel:
-    """Fit on at most ``rows_per_class`` rows of ``labels`` (``doc_id``, ``label`` 0 or 1) of each class."""
+    """Fit on at most ``rows_per_class`` rows of ``labels`` (``doc_id``, ``label`` 0 or 1) of each class.
+
+    Counts of features and the used features of each row meet on the driver, no text.
+    """
     rows = labelled_sample(docs, labels, options.rows_per_class)
-    return _fit(rows, options) if rows else NgramModel(options)
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not totals:
+        return NgramModel(options)
+    ratio, used = log_count_ratios(_counts(rows, options), np.array([totals.get(k, 0) for k in (0, 1)], dtype=np.float64), options)
+    return _fit(_columns(rows, used, options), ratio, used, options)
 
 
 def toxicity_scores(docs: DataFrame, model: NgramModel) -> DataFrame:
