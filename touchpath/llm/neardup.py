@@ -31,15 +31,17 @@ from touchpath.session import cut_lineage
 class NearDupOptions:
     """A pair at the similarity limit of 75 % shares none of 48 bands of 5 coordinates with probability 2.3e-6.
 
-    A block, which one task compares as a whole, has about ``block`` shingles and ``block_sets`` sets at most.
+    A block, which one task compares as a whole, has about ``block`` shingles and ``block_sets`` sets at most. Nodes of
+    buckets of more than ``most_blocks`` blocks meet by rare shingles instead.
     """
 
     words: int = 5
     percent: int = 75
     bands: int = 48
     rows: int = 5
-    block: int = 65_536
+    block: int = 262_144
     block_sets: int = 1_024
+    most_blocks: int = 4
 
 
 OPTIONS = NearDupOptions()
@@ -229,9 +231,8 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
 def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, options: NearDupOptions) -> DataFrame:
     """Links between different components within the buckets, stored.
 
-    A bucket that still holds several components is compared on full sets as one bounded group. The nodes of buckets that
-    are too large for that are grouped anew by their rare shingles; of a key that is still too large every pair of
-    blocks is compared.
+    A bucket that still holds several components is compared on full sets, in pairs of bounded blocks. The nodes of
+    larger buckets are grouped anew by their rare shingles.
     """
     rows = cut_lineage(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
 
@@ -242,11 +243,11 @@ def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, options:
 
     keys = cut_lineage(still_open(rows))
     rows = rows.join(keys, "key")
-    large = cut_lineage(rows.where("blocks > 1").select("node", "component").distinct())
+    large = cut_lineage(rows.where(F.col("blocks") > options.most_blocks).select("node", "component").distinct())
     sizes = sets.select("node", F.expr("octet_length(items) div 8").alias("shingles"))
     rare = cut_lineage(_by_rare_shingles(large, sets, options.percent).join(sizes, "node"))
     rare = rare.join(cut_lineage(still_open(rare)), "key")
-    rows = rows.where("blocks = 1").withColumn("rare", F.lit(False)).unionByName(rare.withColumn("rare", F.lit(True)))
+    rows = rows.where(F.col("blocks") <= options.most_blocks).withColumn("rare", F.lit(False)).unionByName(rare.withColumn("rare", F.lit(True)))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sets, "node")
     groups = rows.groupBy("rare", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
