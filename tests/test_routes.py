@@ -9,7 +9,8 @@ from touchpath import constants as K
 from touchpath.operators import attribution as A
 from touchpath.operators import compare as C
 from touchpath.operators import routes as R
-from touchpath.operators.ranking import ordinal, top_per_group
+from touchpath.operators.ranking import size_ordinal, top_per_group
+from workload import views as V
 
 TOUCHES = [
     ("a", 1, "sms", "one"), ("a", 3, "sms", "two"), ("b", 1, "sms", "one"), ("b", 3, "sms", "two"),
@@ -71,17 +72,29 @@ def test_sum_of_routes_is_all_subjects(spark):
 
 
 def test_ordinal_equals_sorting(spark):
+    """Names of every length, many alike in their first characters, many of one size."""
     rng = random.Random(9)
-    rows = [(f"g{rng.randrange(3)}", rng.randrange(40), f"k{i}") for i in range(3000)]
+    names = {" > ".join(rng.choice(["ab", "a", "a!", "é", "STEP 1", "STEP 10"]) for _ in range(rng.randrange(1, 40))) for _ in range(2000)}
+    names |= {"x" * 96 + str(i) for i in range(300)} | {"", "x" * 24, "x" * 96}
+    rows = [(f"g{rng.randrange(3)}", rng.choice([1, 1, 1, 2, rng.randrange(40)]), k) for k in sorted(names)]
     df = spark.createDataFrame(rows, "g string, n int, k string").repartition(7)
-    got = ordinal(df, ["g"], [F.col("n").desc(), F.col("k").asc()], "pos")
+    got = size_ordinal(df, "g", "n", "k", "pos")
     expected = []
     for g in ("g0", "g1", "g2"):
-        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2].encode()))
         expected += [(g, i + 1, r[2]) for i, r in enumerate(mine)]
     assert records(got, "g", "pos", "k") == sorted(expected)
 
 
+def test_building_a_route_report_starts_no_job(spark, sf_dir):
+    spark.sparkContext.setJobGroup("build-routes", "routes")
+    j = V.events_journey(spark, sf_dir)
+    report = R.best_and_worst(R.route_report(j.touches, j.attribution))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build-routes")
+    assert "RangePartitioning" not in report._jdf.queryExecution().optimizedPlan().toString()
+    spark.sparkContext.setJobGroup("other", "")
+
+
 def test_top_per_group(spark):
     df = spark.createDataFrame([("g", i) for i in range(10)] + [("h", 1)], "g string, n int")
     assert records(top_per_group(df, ["g"], [F.col("n").desc()], 2), "g", "n") == [("g", 8), ("g", 9), ("h", 1)]

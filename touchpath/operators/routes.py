@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchpath import constants as K
 from touchpath.functions import pct, ratio, round_half, route_label
-from touchpath.operators.ranking import ordinal
+from touchpath.operators.ranking import size_ordinal
 from touchpath.operators.windows import SUBJECT_KEY
 
 ROUTE = (K.WAVE, "ruta_key")
@@ -64,7 +64,7 @@ def subject_routes(touches: DataFrame, dedupe_steps: bool = False) -> DataFrame:
 
 def label_routes(sizes: DataFrame, size: str = "msisdn_en_ruta") -> DataFrame:
     """Routes named by size within the wave: the largest is A, ties by key."""
-    ranked = ordinal(sizes, [K.WAVE], [F.col(size).desc(), F.col("ruta_key").asc()], "ruta_num")
+    ranked = size_ordinal(sizes, K.WAVE, size, "ruta_key", "ruta_num")
     return ranked.withColumn("ruta", route_label("ruta_num"))
 
 
