@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import conversions, day, records, touches
+from conftest import conversions, day, executed_plan, records, touches
 from touchpath import Journey, JourneyConfig
 from touchpath import constants as K
 from touchpath.operators import compare as C
@@ -139,3 +139,56 @@ def test_calendar_and_dimensions(spark, journey):
     rel = M.with_relative_day(journey.attribution, journey.touches, ("a",))
     assert rel.count() == journey.attribution.count()
     assert rel.where("wave = 'b' and dia_rel_conv is not null").isEmpty()
+
+
+def test_dimension_slicers_reach_every_fact_with_the_key(journey):
+    j = journey
+    facts = {"touches": j.touches, "conversions": j.conversions, "attribution": j.attribution}
+    days, steps = M.days(j.touches, j.conversions), M.steps(j.touches)
+    early = M.Slicers(attributes=[(steps, F.col("paso_idx") <= 2), (days, F.col("dia_semana_num") <= 5)])
+    names = ["impactados", "renovaciones_atribuidas", "renovaciones_periodo"]
+    got = {r.wave: tuple(r)[1:] for r in M.evaluate(facts, names, slicers=early).collect()}
+    first = {(r.wave, r[K.STEP]) for r in P.step_order(j.touches).where("paso_idx <= 2").collect()}
+    for wave in ("a", "b"):
+        reached = {r[K.SUBJECT] for r in j.touches.collect() if r.wave == wave and (wave, r[K.STEP]) in first and r[K.TOUCH_DATE].isoweekday() <= 5}
+        credited = [r for r in j.attribution.collect() if r.wave == wave and (wave, r[K.STEP]) in first and r[K.CONV_DATE].isoweekday() <= 5]
+        sold = [r for r in j.conversions.collect() if r.wave == wave and r[K.CONV_DATE].isoweekday() <= 5]
+        assert got[wave] == (len(reached), len(credited), len(sold))
+    with pytest.raises(ValueError, match="no fact has the dimension's key"):
+        M.evaluate({"conversions": j.conversions}, ["renovaciones_periodo"], slicers=M.Slicers(attributes=[(steps, F.lit(True))]))
+
+
+def test_dimension_slicers_prune_stored_partitions(spark, tmp_path, journey):
+    """A slicer on a dimension whose key partitions the fact reads only the partitions of its members."""
+    path = str(tmp_path / "touches")
+    journey.touches.write.partitionBy(K.WAVE).parquet(path)
+    stored = spark.read.schema(journey.touches.schema).parquet(path)
+    waves = M.Dimension(spark.createDataFrame([("a", "A"), ("b", "B")], "wave string, etiqueta string"), (K.WAVE,))
+    sliced = M.Slicers(attributes=[(waves, F.col("etiqueta") == "A")]).apply(stored, "touches")
+    assert "dynamicpruning" in executed_plan(sliced).lower()
+    assert records(sliced.select(K.WAVE).distinct(), K.WAVE) == [("a",)]
+
+
+def test_composition_measures_have_their_own_denominators(journey):
+    j = journey
+    facts = {"touches": j.touches, "conversions": j.conversions, "attribution": j.attribution}
+    got = M.evaluate(facts, ["pct_atribuido", "pct_base", "indice_composicion"], [K.WAVE, "ciudad"]).collect()
+    want = {(r.wave, r.valor): r for r in CO.composition(j.attribution, j.conversions, ["ciudad"]).collect()}
+    for r in got:
+        published = want[r.wave, r.ciudad]
+        assert round(100 * (r.pct_atribuido or 0), 2) == pytest.approx(published.pct_atribuido, abs=0.011)
+        assert round(100 * r.pct_base, 2) == pytest.approx(published.pct_base, abs=0.011)
+        assert r.indice_composicion is None or round(r.indice_composicion) == pytest.approx(published.indice, abs=1)
+    with pytest.raises(ValueError, match="whole wave"):
+        M.evaluate(facts, ["pct_base"], ["ciudad"])
+
+
+def test_sketches_of_days_merge(spark):
+    rows = spark.range(60_000).selectExpr("'w' AS wave", "cast(id % 20000 as string) AS msisdn", "date_add(date'2026-06-01', cast(id % 9 as int)) AS fecha_envio", "if(id % 3 = 0, 'sms', 'push') AS canal")
+    sketches = P.reach_sketches(rows)
+    assert sketches.count() == 9
+    part = rows.where("fecha_envio >= date'2026-06-03' AND fecha_envio < date'2026-06-08'")
+    for keys in ([K.CHANNEL], []):
+        exact = {tuple(r)[:-1]: r.n for r in part.groupBy(K.WAVE, *keys).agg(F.countDistinct(K.SUBJECT).alias("n")).collect()}
+        got = {tuple(r)[:-1]: r.msisdn_aprox for r in P.reach_of_interval(sketches, day(2), day(7), keys).collect()}
+        assert got.keys() == exact.keys() and all(abs(got[k] / exact[k] - 1) < 0.02 for k in exact)

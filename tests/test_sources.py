@@ -10,6 +10,7 @@ from touchpath import Journey, JourneyConfig
 from touchpath import constants as K
 from touchpath import schemas
 from touchpath import sources as S
+from touchpath.operators.quality import QualityError
 from touchpath.plans.extraction import export_events, split_unmatched, wave_touches, write_export
 
 KEYS = ("second", "first")
@@ -170,3 +171,67 @@ def test_materialized_journey_reads_the_same(spark, tmp_path):
     assert schemas.require(stored.attribution, schemas.ATTRIBUTION, "attribution").count() == 1
     assert stored.owners.count() == 2
     assert dict(stored.touches.dtypes)[K.WAVE] == "string"
+
+
+def test_replacing_partitions_is_repeatable(spark, tmp_path):
+    path = str(tmp_path / "export")
+    first = spark.createDataFrame([("sms", "d1", 1), ("sms", "d2", 2), ("push", "d1", 3)], "canal string, dia string, n int")
+    for _ in range(2):
+        S.replace_partitions(first, path, ["canal", "dia"])
+    assert records(spark.read.parquet(path), "canal", "dia", "n") == [("push", "d1", 3), ("sms", "d1", 1), ("sms", "d2", 2)]
+    S.replace_partitions(first.where("canal = 'sms' AND dia = 'd2'").withColumn("n", F.lit(9)), path, ["canal", "dia"])
+    assert records(spark.read.parquet(path), "canal", "dia", "n") == [("push", "d1", 3), ("sms", "d1", 1), ("sms", "d2", 9)]
+
+
+def test_missing_snapshots_are_replaced_by_earlier_ones(spark, tmp_path):
+    rows = [("2026-06-01", "gt", "1", "50200000001"), ("2026-06-09", "gt", "1", "50200000002"), ("2026-06-09", "sv", "2", "50200000003")]
+    path = str(tmp_path / "profile")
+    spark.createDataFrame(rows, "fct_dt string, cntry_cd string, external_id string, msisdn string").write.partitionBy("fct_dt").parquet(path)
+    profile = spark.read.schema("cntry_cd string, external_id string, msisdn string, fct_dt string").parquet(path)
+    wanted = ["2026-05-01", "2026-06-01", "2026-06-08", "2026-06-09", "2026-07-01"]
+    assert S.choose_snapshots(profile, wanted) == dict(zip(wanted, ["2026-06-01"] * 3 + ["2026-06-09"] * 2, strict=True))
+    assert records(S.nearest_snapshots(profile, wanted[:1]), "pedido", "fct_dt", "dias") == [("2026-05-01", "2026-06-01", -31)]
+    read = S.scan_nearest_profile(spark, profile, ["2026-06-08"], "gt")
+    assert records(read, "fct_dt", "msisdn") == [("2026-06-01", "50200000001")]
+    assert "2026-06-01" in executed_plan(read).split("PartitionFilters")[1].split("]")[0]
+    assert S.choose_snapshots(profile.limit(0), wanted) == {}
+
+
+RAW = "wave string, msisdn string, fecha_envio string, canal string, canvas_step_nm string, canvas_variation_nm string, cuenta_id string"
+RAW_SOLD = "wave string, msisdn string, fecha_conv string, channel string, ciudad string, departamento string, bfr_vc_nm string, bfr_dt_nm string"
+
+
+def raw_model(spark, touched, sold, waves=("a", "b")):
+    t = spark.createDataFrame([(w, k, d, "sms", "s", None, "c") for w, k, d in touched], RAW)
+    c = spark.createDataFrame([(w, k, d, "x", "c", "d", "p", "q") for w, k, d in sold], RAW_SOLD)
+    return Journey.from_raw(t, c, JourneyConfig(waves))
+
+
+def test_gates_count_while_the_model_is_stored(spark, tmp_path):
+    good = [("a", "50200000001", "2026-06-01"), ("b", "50200000002", "2026-06-01"), ("b", "12", "2026-06-01")]
+    sold = [("a", "50200000001", "2026-06-02"), ("b", "50200000002", "2026-06-02")]
+    model = raw_model(spark, good, sold)
+    jobs = []
+    for name, gates in (("with", True), ("without", False)):
+        spark.sparkContext.setJobGroup(name, name)
+        stored = model.materialize(str(tmp_path / name), gates)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs[0] == jobs[1]  # no job, so no scan, of their own
+    assert [(v.wave, v.touches_read, v.touches_valid, v.conversions_valid, v.reached, v.attributed) for v in stored.verdicts] == [("a", 1, 1, 1, 1, 1), ("b", 2, 1, 1, 1, 1)]
+
+
+@pytest.mark.parametrize(
+    ("touched", "sold", "message"),
+    [
+        ([("a", "50200000001", "2026-06-01"), ("b", "12", "2026-06-01")], [("a", "50200000001", "2026-06-02"), ("b", "50200000002", "2026-06-02")], "b: no valid touches left of 1 read"),
+        ([("a", "50200000001", "2026-06-01"), ("b", "50200000002", "2026-06-01")], [("a", "50200000001", "2026-06-02"), ("b", "50200000002", "xx")], "b: no valid conversions left of 1"),
+        ([("a", "50200000001", "2026-06-01"), ("b", "50200000002", "2026-06-01")], [("a", "50200000001", "2026-06-02"), ("b", "50200000009", "2026-06-02")], "b: no subject of the touches"),
+        ([("a", "50200000001", "2026-06-01"), ("b", "50200000002", "2026-06-01")], [("a", "50200000001", "2026-06-02"), ("b", "50200000002", "2026-05-02")], "b: no conversion attributed"),
+    ],
+)
+def test_one_broken_wave_stops_the_model(spark, tmp_path, touched, sold, message):
+    with pytest.raises(QualityError, match=message) as stopped:
+        raw_model(spark, touched, sold).materialize(str(tmp_path / "model"))
+    assert "a:" not in str(stopped.value)
+    assert raw_model(spark, touched, sold).materialize(str(tmp_path / "open"), gates=False).verdicts[1].problem

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from touchpath import constants as K
@@ -115,3 +118,48 @@ def require_attributions(
             f"(touches {_examples(touches)}, conversions {_examples(conversions)}), the report "
             f"interval, and the last-touch limit ({last_touch_days} days)"
         )
+
+
+def per_wave(waves: Sequence[str], condition: Column | None = None) -> list[Column]:
+    """One count for each of ``waves``, to observe while rows pass."""
+    return [F.count_if((F.col(K.WAVE) == w) & (F.lit(True) if condition is None else condition)).alias(w) for w in waves]
+
+
+@dataclass(frozen=True)
+class WaveVerdict:
+    """What passed while a wave was stored, and what stops its reports, if anything."""
+
+    wave: str
+    touches_read: int
+    touches_valid: int
+    conversions_read: int
+    conversions_valid: int
+    reached: int | None = None
+    attributed: int | None = None
+
+    @property
+    def problem(self) -> str | None:
+        for what, read, valid in (
+            ("touches", self.touches_read, self.touches_valid),
+            ("conversions", self.conversions_read, self.conversions_valid),
+        ):
+            if not valid:
+                return f"no valid {what} left of {read} read: 8-digit subject and readable date needed"
+        if self.reached == 0:
+            return "no subject of the touches occurs in the conversions: compare their formats"
+        if self.attributed == 0:
+            return "no conversion attributed: check the report interval, then the last-touch limit"
+        return None
+
+
+def verdicts(waves: Sequence[str], observed: dict[str, Observation]) -> list[WaveVerdict]:
+    """One verdict per wave from what was ``observed`` under the names of the verdict's fields."""
+    counts = {name: seen.get for name, seen in observed.items()}
+    return [WaveVerdict(w, **{name: found[w] for name, found in counts.items()}) for w in waves]
+
+
+def require_passed(found: Sequence[WaveVerdict]) -> None:
+    """Stop when any wave has a problem, naming all of them."""
+    problems = [f"{v.wave}: {v.problem}" for v in found if v.problem]
+    if problems:
+        raise QualityError("; ".join(problems))

@@ -6,12 +6,14 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchpath import constants as K
 from touchpath import schemas
 from touchpath.operators import attribution as A
+from touchpath.operators import quality as Q
 from touchpath.operators.cleaning import RULES, CleaningRules, clean_conversions, clean_touches
 from touchpath.operators.windows import period_bounds, validity_windows
 from touchpath.sources.files import write_parquet
@@ -42,15 +44,19 @@ class Journey:
         self.touches = schemas.require(touches, schemas.TOUCHES, "touches")
         self.conversions = schemas.require(conversions, schemas.CONVERSIONS, "conversions")
         self.config = config
+        self._raw: tuple[DataFrame, DataFrame] | None = None
+        self.verdicts: list[Q.WaveVerdict] = []
 
     @classmethod
     def from_raw(cls, touches: DataFrame, conversions: DataFrame, config: JourneyConfig) -> Journey:
         """Model over raw text rows that carry a ``wave`` column."""
-        return cls(
+        model = cls(
             clean_touches(touches, rules=config.rules),
             clean_conversions(conversions, rules=config.rules),
             config,
         )
+        model._raw = touches, conversions
+        return model
 
     @cached_property
     def owners(self) -> DataFrame:
@@ -71,15 +77,37 @@ class Journey:
     def period(self) -> DataFrame:
         return period_bounds(self.touches, self.conversions)
 
-    def materialize(self, path: str) -> Journey:
-        """Write clean facts and owners to ``path`` (shared storage) and read them back."""
-        spark = self.touches.sparkSession
-        facts = {"touches": self.touches, "conversions": self.conversions}
-        for name, df in facts.items():
-            write_parquet(df, f"{path}/{name}", [K.WAVE])
+    def materialize(self, path: str, gates: bool = True) -> Journey:
+        """Write clean facts and owners to ``path`` (shared storage) and read them back.
+
+        Rows read, rows kept, reached and attributed conversion days are counted per wave of the configuration while they
+        are written, by observation: no scan and no job of their own. With ``gates``, a wave that cleaning empties, or of
+        which nothing meets or is attributed, raises ``QualityError``; the counts stay in ``verdicts``.
+        """
+        spark, waves = self.touches.sparkSession, self.config.waves
+        seen = {name: Observation() for name in ("touches_read", "touches_valid", "conversions_read", "conversions_valid")}
+        for name, clean in (("touches", clean_touches), ("conversions", clean_conversions)):
+            if self._raw is None:
+                del seen[f"{name}_read"]
+                df = getattr(self, name)
+            else:
+                raw = self._raw[name == "conversions"]
+                df = clean(raw.observe(seen[f"{name}_read"], *Q.per_wave(waves)), rules=self.config.rules)
+            write_parquet(df.observe(seen[f"{name}_valid"], *Q.per_wave(waves)), f"{path}/{name}", [K.WAVE])
+        for name in ("touches", "conversions"):  # a model of clean facts reads what it keeps
+            seen.setdefault(f"{name}_read", seen[f"{name}_valid"])
+        if gates:
+            Q.require_passed(Q.verdicts(waves, seen))
         stored = self.read(spark, path, self.config, with_owners=False)
-        write_parquet(stored.owners, f"{path}/owners", [K.WAVE])
-        return self.read(spark, path, self.config)
+        seen |= {"reached": Observation(), "attributed": Observation()}
+        owners = stored.owners.observe(seen["reached"], *Q.per_wave(waves, F.col("impactado")))
+        owners = owners.observe(seen["attributed"], *Q.per_wave(waves, F.col("toque").isNotNull()))
+        write_parquet(owners, f"{path}/owners", [K.WAVE])
+        model = self.read(spark, path, self.config)
+        model.verdicts = Q.verdicts(waves, seen)
+        if gates:
+            Q.require_passed(model.verdicts)
+        return model
 
     @classmethod
     def read(

@@ -299,6 +299,20 @@ def approximate_reach(touches: DataFrame, keys: Sequence[str], rsd: float = 0.02
     )
 
 
+def reach_sketches(touches: DataFrame, keys: Sequence[str] = (K.CHANNEL,), log2_size: int = 14) -> DataFrame:
+    """One sketch of the subjects per day and ``keys``, to store next to the log: ``2 ** log2_size`` registers each."""
+    return touches.groupBy(K.WAVE, K.TOUCH_DATE, *keys).agg(F.hll_sketch_agg(K.SUBJECT, log2_size).alias("boceto"))
+
+
+def reach_of_interval(sketches: DataFrame, since: object, until: object, keys: Sequence[str] = (K.CHANNEL,)) -> DataFrame:
+    """Distinct subjects of ``[since, until)`` per ``keys`` (any of those the sketches have), merged from daily sketches.
+
+    Days overlap in their subjects, so daily counts do not add up; sketches do. The log is not read again.
+    """
+    days = sketches.where((F.col(K.TOUCH_DATE) >= F.lit(since)) & (F.col(K.TOUCH_DATE) < F.lit(until)))
+    return days.groupBy(K.WAVE, *keys).agg(F.hll_sketch_estimate(F.hll_union_agg("boceto")).alias("msisdn_aprox"))
+
+
 def early_share(attribution: DataFrame, days: int = K.EARLY_DAYS) -> DataFrame:
     """Percent of conversions within ``days`` of the touch."""
     return attribution.groupBy(K.WAVE).agg(

@@ -3,7 +3,9 @@
 The facts have different grains and no relationship to each other. A measure
 is aggregated on its own fact along the requested axes; the results meet on
 those axes. Slicers are applied to every fact that has the column before
-anything is aggregated.
+anything is aggregated; a slicer on an attribute of a dimension reaches every
+fact that has the dimension's key. Measures may be made of other measures, some
+of them in a wider context, and are evaluated in the order of what they need.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ from touchpath.plans.reports import step_order
 
 @dataclass(frozen=True)
 class Measure:
-    """An aggregate of one fact, or with ``over`` the ratio of two measures."""
+    """An aggregate of one fact; with ``over`` the ratio of two measures, ``scale`` times; with ``total`` another measure
+    of the whole wave, whatever the other axes say, under the same slicers."""
 
     fact: str = ""
     expr: Callable[[], Column] | None = None
     over: tuple[str, str] | None = None
+    scale: float = 1.0
+    total: str = ""
     count: bool = True
     distinct: str = ""  # the column a distinct count is of
 
@@ -43,18 +48,44 @@ MEASURES: dict[str, Measure] = {
     "share_atribucion": Measure(over=("renovaciones_atribuidas", "renovaciones_periodo")),
 }
 
+#: Who converts through the journey, compared with everyone who converts, along an axis both facts have.
+COMPOSITION_MEASURES: dict[str, Measure] = {
+    "renovaciones_base": Measure("conversions", lambda: F.count("*")),
+    "pct_atribuido": Measure(over=("renovaciones_atribuidas", "total_atribuidas")),
+    "pct_base": Measure(over=("renovaciones_base", "total_periodo")),
+    "indice_composicion": Measure(over=("pct_atribuido", "pct_base"), scale=100.0),
+    "total_atribuidas": Measure(total="renovaciones_atribuidas"),
+    "total_periodo": Measure(total="renovaciones_periodo"),
+}
+MEASURES |= COMPOSITION_MEASURES
+
 #: Date column each fact is filtered on by the calendar.
 FACT_DATE = {"touches": K.TOUCH_DATE, "conversions": K.CONV_DATE, "attribution": K.CONV_DATE}
 
 
+@dataclass(frozen=True)
+class Dimension:
+    """Attributes under a key that facts have too; the key ``date`` meets each fact's own date."""
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+
+    def keys_of(self, df: DataFrame, fact: str) -> dict[str, str] | None:
+        """The fact's column for each key; None where the fact has no such key."""
+        found = {key: FACT_DATE[fact] if key == "date" else key for key in self.keys}
+        return found if set(found.values()) <= set(df.columns) else None
+
+
 @dataclass(frozen=True)
 class Slicers:
-    """Selected values per column, value ranges, and a calendar range (both ends included)."""
+    """Selected values per column, value ranges, a calendar range (both ends included), and conditions on attributes of
+    dimensions."""
 
     values: Mapping[str, Sequence[object]] = field(default_factory=dict)
     ranges: Mapping[str, tuple[object, object]] = field(default_factory=dict)
     dates: tuple[object, object] | None = None
     weekdays: Sequence[int] = ()
+    attributes: Sequence[tuple[Dimension, Column]] = ()
 
     def require(self, facts: Mapping[str, DataFrame]) -> None:
         """A slicer whose column no fact has would filter nothing: that is an error, not an empty choice."""
@@ -62,6 +93,9 @@ class Slicers:
         unknown = sorted({*self.values, *self.ranges} - known)
         if unknown:
             raise ValueError(f"no fact has the slicer columns {unknown}")
+        for dimension, _ in self.attributes:
+            if not any(dimension.keys_of(df, fact) for fact, df in facts.items()):
+                raise ValueError(f"no fact has the dimension's key {list(dimension.keys)}")
 
     def apply(self, df: DataFrame, fact: str) -> DataFrame:
         for column, wanted in self.values.items():
@@ -75,6 +109,12 @@ class Slicers:
             df = df.where(F.col(day).between(F.lit(self.dates[0]), F.lit(self.dates[1])))
         if self.weekdays:
             df = df.where(weekday_number(day).isin(list(self.weekdays)))
+        for dimension, condition in self.attributes:
+            keys = dimension.keys_of(df, fact)
+            if keys is not None:
+                # A semi-join: the members prune the partitions of a stored fact and, where few, are broadcast by AQE.
+                members = dimension.rows.where(condition).select(*(F.col(k).alias(f"_{own}") for k, own in keys.items()))
+                df = df.join(members, [F.col(own) == F.col(f"_{own}") for own in keys.values()], "left_semi")
         return df
 
 
@@ -92,35 +132,58 @@ def evaluate(
     Counts that find no row are zero, other measures NULL.
     """
     slicers.require(facts)
-    needed: list[str] = []
+    order = _needed(measures)
+    leaves = [n for n in order if MEASURES[n].expr is not None]
+    totals = [n for n in order if MEASURES[n].total]
+    if totals and K.WAVE not in axes:
+        raise ValueError(f"{totals} are of a whole wave: the axes need it")
+    result = _aggregated(facts, leaves, axes, slicers, rows_from)
+    if totals:
+        wider = _aggregated(facts, list(dict.fromkeys(MEASURES[n].total for n in totals)), (K.WAVE,), slicers, None)
+        result = result.join(wider.select(K.WAVE, *(F.col(MEASURES[n].total).alias(n) for n in totals)), K.WAVE, "left")
+    for name in order:
+        measure = MEASURES[name]
+        if measure.over is not None:
+            result = result.withColumn(name, F.lit(measure.scale) * ratio(*measure.over))
+    return result.select(*axes, *measures)
+
+
+def _needed(measures: Sequence[str]) -> list[str]:
+    """``measures`` and what they are made of, each after what it needs."""
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in order:
+            for part in MEASURES[name].over or ():
+                visit(part)
+            order.append(name)
+
     for name in measures:
-        for part in MEASURES[name].over or (name,):
-            if part not in needed:
-                needed.append(part)
+        visit(name)
+    return order
+
+
+def _aggregated(
+    facts: Mapping[str, DataFrame], names: Sequence[str], axes: Sequence[str], slicers: Slicers, rows_from: str | None
+) -> DataFrame:
+    """Measures of the facts themselves, each on its own fact, met on the axes."""
     by_fact: dict[str, list[str]] = {}
-    for name in needed:
+    for name in names:
         by_fact.setdefault(MEASURES[name].fact, []).append(name)
     if rows_from is not None:
         by_fact = {rows_from: by_fact.pop(rows_from, []), **by_fact}
     result: DataFrame | None = None
-    for fact, names in by_fact.items():
-        aggs = [MEASURES[n].expr().alias(n) for n in names]
+    for fact, own in by_fact.items():
+        aggs = [MEASURES[n].expr().alias(n) for n in own]
         rows = slicers.apply(facts[fact], fact)
         if fact == "touches":  # several distincts expand these rows, not the log
-            kept = dict.fromkeys([*axes, *(MEASURES[n].distinct for n in names if MEASURES[n].distinct)])
+            kept = dict.fromkeys([*axes, *(MEASURES[n].distinct for n in own if MEASURES[n].distinct)])
             rows = rows.groupBy(*kept).agg(F.count("*").alias("_sends"))
         grouped = rows.groupBy(*axes)
         part = grouped.agg(*aggs) if aggs else grouped.agg(F.count("*").alias("_n")).drop("_n")
         how = "left" if rows_from is not None else "full_outer"
         result = part if result is None else result.join(part, list(axes), how)
-    for name in needed:
-        if MEASURES[name].count:
-            result = result.withColumn(name, F.coalesce(name, F.lit(0)))
-    for name in measures:
-        over = MEASURES[name].over
-        if over is not None:
-            result = result.withColumn(name, ratio(*over))
-    return result.select(*axes, *measures)
+    return result.withColumns({n: F.coalesce(n, F.lit(0)) for n in names if MEASURES[n].count})
 
 
 def measure_by_wave(evaluated: DataFrame, measure: str, waves: Sequence[str], axes: Sequence[str] = ()) -> DataFrame:
@@ -181,6 +244,23 @@ def step_dimension(touches: DataFrame) -> DataFrame:
     return step_order(touches).withColumn("clave_paso", F.concat_ws("|", K.WAVE, K.STEP))
 
 
+def steps(touches: DataFrame) -> Dimension:
+    """The steps, to slice by their order or relative day."""
+    return Dimension(step_dimension(touches), (K.WAVE, K.STEP))
+
+
+def days(touches: DataFrame, conversions: DataFrame) -> Dimension:
+    """The calendar, to slice by year, month or weekday."""
+    return Dimension(calendar(touches, conversions), ("date",))
+
+
+def with_step(attribution: DataFrame, touches: DataFrame) -> DataFrame:
+    """Attribution rows with ``paso_idx``, ``dia_rel`` and ``dia_cero`` of the step that gets the credit, and the day of the
+    conversion counted from the wave's first touch."""
+    order = step_order(touches).select(K.WAVE, K.STEP, "paso_idx", "dia_rel", "dia_cero")
+    return attribution.join(order, [K.WAVE, K.STEP], "left").withColumn("dia_rel_conv", days_between("dia_cero", K.CONV_DATE))
+
+
 def with_relative_day(attribution: DataFrame, touches: DataFrame, waves: Sequence[str]) -> DataFrame:
     """Attribution rows with the conversion day counted from the wave's first touch.
 

@@ -47,3 +47,12 @@ def write_dimension_csv(composition: DataFrame, path: str, mode: str = "overwrit
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Rebalanced before writing: AQE splits heavy partitions and merges tiny ones."""
     df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Write ``df`` so that exactly the partitions it holds are replaced: a re-run gives the same table.
+
+    Partitions that ``df`` has no row of stay as they are.
+    """
+    rows = df.hint("rebalance", *partition_by)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)

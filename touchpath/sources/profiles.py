@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 from collections.abc import Sequence
 
@@ -57,3 +58,30 @@ def snapshot_gaps(profile: DataFrame, snapshots: Sequence[str]) -> DataFrame:
 
 def existing_snapshots(profile: DataFrame) -> DataFrame:
     return profile.select("fct_dt").distinct()
+
+
+def choose_snapshots(profile: DataFrame, wanted: Sequence[str]) -> dict[str, str]:
+    """For each wanted day the snapshot to read: the latest one not after it; before the first snapshot, the first one.
+
+    Only the days the table holds are looked at (a partition listing where ``fct_dt`` is a partition column). Days are text.
+    """
+    held = sorted(r["fct_dt"] for r in existing_snapshots(profile).where("fct_dt IS NOT NULL").collect())
+    return {day: held[max(0, bisect.bisect_right(held, day) - 1)] for day in dict.fromkeys(wanted)} if held else {}
+
+
+def nearest_snapshots(profile: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """``choose_snapshots`` as rows, to say what was read: ``pedido``, ``fct_dt`` and their distance ``dias``."""
+    chosen = choose_snapshots(profile, wanted)
+    rows = profile.sparkSession.createDataFrame(list(chosen.items()), "pedido string, fct_dt string")
+    return rows.withColumn("dias", F.date_diff(F.col("pedido").cast("date"), F.col("fct_dt").cast("date")))
+
+
+def scan_nearest_profile(
+    spark: SparkSession, table: str | DataFrame, wanted: Sequence[str], country: str | None = None, keys: Sequence[str] = ("external_id",)
+) -> DataFrame:
+    """Identity columns of the snapshots nearest to the ``wanted`` days, each once; ``fct_dt`` says which were read.
+
+    The choice is made when the plan is built, so that literals prune partitions.
+    """
+    df = table if isinstance(table, DataFrame) else spark.read.table(table)
+    return scan_profile(spark, df, sorted(set(choose_snapshots(df, wanted).values())), country, keys)
