@@ -1,10 +1,12 @@
 """Repeated passages by sparse suffix arrays.
 
 Only suffixes at content-selected positions are kept: in every window of ``window`` consecutive word starts the one whose
-n-gram hash is smallest. Copies of a passage select the same places, so a passage of ``min_words`` words has such a place
-among its first ``window`` starts with at least ``key_words`` words to go. Suffixes are grouped by a hash of
-their first ``key_words`` words. Where a run of repeated suffixes begins or ends in a document, all suffixes of such a group are
-sorted by the words beyond it and neighbours are compared, which extends the match to the left and to the right.
+n-gram hash is smallest. Copies of a passage select the same places, so every passage of ``min_words`` words has one kept
+suffix that is selected among its first ``window`` starts, with at least ``key_words`` words to go, and equal passages have
+equal suffixes at equal offsets. Suffixes that share their first ``key_words`` words meet. Each is then extended to the left and
+to the right as far as the passages go that selected it: its stretch. Equal stretches repeat as a whole. Of the suffixes
+whose stretch stands alone, and of one suffix of each equal stretch with the same first words, the passages are compared one
+by one, so that left and right extension always are those of one and the same other place.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,38 +50,32 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def selected(hashes: np.ndarray, options: PassageOptions) -> np.ndarray:
-    """Places of the kept suffixes, in order."""
+class Rolling:
+    """Hashes of any stretches of a text's words, from sums of word hashes times powers of an odd number."""
+
+    def __init__(self, hashes: np.ndarray, base: np.uint64) -> None:
+        n = len(hashes)
+        self.back = np.cumprod(np.full(n + 1, pow(int(base), -1, 1 << 64), np.uint64)) * base  # powers of the inverse, from 0
+        powers = np.cumprod(np.full(n, base, np.uint64))
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers, dtype=np.uint64)))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from ``start`` up to ``end``."""
+        return _mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * _ODD[1000]).view(np.int64)
+
+
+def selected(hashes: np.ndarray, options: PassageOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the kept suffixes, in order, and the first and last start of the passages that selected each."""
     n = len(hashes)
     if n < options.min_words:
-        return np.empty(0, np.int64)
-    grams = np.zeros(n - options.gram + 1, np.uint64)
+        return (np.empty(0, np.int64),) * 3
+    grams = np.zeros(n - options.min_words + options.window, np.uint64)
     for i in range(options.gram):
         grams += hashes[i : i + len(grams)] * _ODD[i]
     windows = np.lib.stride_tricks.sliding_window_view(_mixed(grams), options.window)
-    places = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
-    return places[places <= n - options.key_words]
-
-
-def prefix_keys(hashes: np.ndarray, places: np.ndarray, options: PassageOptions, seed: int = 0) -> np.ndarray:
-    """Hash of the first ``key_words`` words of every suffix."""
-    start = 100 + 300 * seed
-    total = np.zeros(len(places), np.uint64)
-    for i in range(options.key_words):
-        total += hashes[places + i] * _ODD[start + i % 300]
-        total = _mixed(total) if i % 300 == 299 else total
-    return _mixed(total).view(np.int64)
-
-
-def _context(hashes: np.ndarray, place: int, left: bool, options: PassageOptions) -> bytes:
-    """Up to ``window`` words before the suffix, nearest first, or after its key. 0 stands for none and is no word."""
-    if left:
-        words = hashes[max(0, place - options.window) : place][::-1]
-    else:
-        words = hashes[place + options.key_words : place + options.key_words + options.window]
-    out = np.zeros(options.window, ">u4")
-    out[: len(words)] = (words >> np.uint64(32)) | np.uint64(1)
-    return out.tobytes()
+    places = np.arange(len(windows)) + windows.argmin(axis=1)
+    changes = np.flatnonzero(places[1:] != places[:-1])
+    return places[np.concatenate(([0], changes + 1))], np.concatenate(([0], changes + 1)), np.concatenate((changes, [len(places) - 1]))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -88,166 +83,90 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
+_KEPT = ["key", "stretch", "low", "high"]
+
+
 def _suffixes(docs: DataFrame, options: PassageOptions) -> DataFrame:
-    """One row per document with its kept suffixes, stored: ``row``, ``doc_id``, ``text_hash``, ``places``, ``keys``."""
+    """One row per document with its kept suffixes, stored: ``row``, ``doc_id``, ``text_hash`` and lists of ``_KEPT``."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, keys = [], []
+            lists: list[list[np.ndarray]] = [[], [], [], []]
             for text in batch.column(2).to_pylist():
                 hashes = word_hashes(text)
-                at = selected(hashes, options)
-                places.append(at)
-                keys.append(prefix_keys(hashes, at, options))
-            ends = pa.array(np.cumsum([0, *map(len, places)], dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *x])) for x in (places, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "text_hash", "places", "keys"])
+                at, low, high = selected(hashes, options)
+                key = Rolling(hashes, _ODD[1001]).of(at, at + options.key_words) if len(at) else at
+                stretch = Rolling(hashes, _ODD[1002]).of(low, high + options.min_words) if len(at) else at
+                for column, values in zip(lists, (key, stretch, low, high), strict=True):
+                    column.append(values)
+            ends = pa.array(np.cumsum([0, *map(len, lists[0])], dtype=np.int32))
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *x]), t)) for x, t in zip(lists, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "text_hash", *_KEPT])
 
-    done = text_batches(_hashed(docs)).mapInArrow(work, "doc_id long, text_hash long, places array<long>, keys array<long>")
-    return cut_lineage(done.where(F.size("places") > 0).withColumn("row", F.monotonically_increasing_id()))
+    schema = "doc_id long, text_hash long, key array<long>, stretch array<long>, low array<int>, high array<int>"
+    done = text_batches(_hashed(docs)).mapInArrow(work, schema)
+    return cut_lineage(done.where(F.size("key") > 0).withColumn("row", F.monotonically_increasing_id()))
 
 
-def _contexts(docs: DataFrame, rows: DataFrame, needed: DataFrame, options: PassageOptions) -> DataFrame:
-    """``side``, both hashes of the key and the words beyond it, for the suffixes ``needed`` (``row``, ``place``, ``begins``, ``ends``)."""
-    names = ["side", "key", "check", "beyond", "row", "place"]
-    types = [pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+def _passages(docs: DataFrame, rows: DataFrame, needed: DataFrame, options: PassageOptions) -> DataFrame:
+    """Every passage of the suffixes ``needed`` (``row``, ``low``, ``high``, ``copies``, ``first_doc_id``) with its two hashes, stored."""
+    names = ["hash1", "hash2", "row", "start", "copies", "first_doc_id"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for row, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 hashes = word_hashes(text)
-                at = np.array([w["place"] for w in wanted], np.int64)
-                keys, checks = (prefix_keys(hashes, at, options, seed).tolist() for seed in (0, 1))
-                for w, key, check in zip(wanted, keys, checks, strict=True):
-                    for side, used in ((True, w["begins"]), (False, w["ends"])):
-                        if used:
-                            out.append((side, key, check, _context(hashes, w["place"], side, options), row, w["place"]))
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    wanted = needed.groupBy("row").agg(F.collect_list(F.struct("place", "begins", "ends")).alias("wanted"))
+                sizes = [w["high"] - w["low"] + 1 for w in wanted]
+                start = np.concatenate([np.arange(w["low"], w["high"] + 1) for w in wanted])
+                both = [Rolling(hashes, base).of(start, start + options.min_words) for base in _ODD[1003:1005]]
+                own = np.repeat(np.arange(len(wanted)), sizes)
+                copies = np.array([w["copies"] for w in wanted], np.int64)[own]
+                first = pa.array([w["first_doc_id"] for w in wanted], pa.int64()).take(pa.array(own))
+                columns = [*both, np.full(len(start), row, np.int64), start, copies]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types[:-1], strict=True)), first], names)
+
+    wanted = needed.groupBy("row").agg(F.collect_list(F.struct("low", "high", "copies", "first_doc_id")).alias("wanted"))
     wanted = wanted.join(rows.select("row", F.coalesce("doc_id", F.lit(-1)).alias("_id"), "text_hash"), "row")
     texts = _hashed(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "text_hash", "text").dropDuplicates(["_id", "text_hash"])
     joined = texts.join(wanted, ["_id", "text_hash"]).select("row", "text", "wanted")
-    return text_batches(joined).mapInArrow(work, "side boolean, key long, check long, beyond binary, row long, place long")
-
-
-_ORDER = ["side", "key", "check", "beyond", "row", "place"]
-
-
-def _shared(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    """Words beyond the key that each row has in common with the row after it; -1 where the key differs."""
-    columns = [batch.column(batch.schema.get_field_index(c)) for c in _ORDER[:4]]
-    same = np.ones(max(0, batch.num_rows - 1), bool)
-    for column in columns[:3]:
-        values = column.to_numpy(zero_copy_only=False)
-        same &= values[1:] == values[:-1]
-    words = np.frombuffer(b"".join(columns[3].to_pylist()), ">u4").reshape(batch.num_rows, -1)
-    equal = (words[1:] == words[:-1]) & (words[1:] != 0)
-    return np.where(same, np.logical_and.accumulate(equal, axis=1).sum(axis=1), -1)
-
-
-def _extensions(contexts: DataFrame) -> DataFrame:
-    """``side``, ``row``, ``place`` and the most words (``more``) shared beyond the key with a neighbour in the order.
-
-    The order is that of a range partitioning, stored. A partition needs the last row of the one before and the first row
-    of the one after: two rows of each partition are all that meets on the driver.
-    """
-    ordered = cut_lineage(contexts.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER))
-    schema = ordered.schema
-
-    def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        for batch in batches:
-            if batch.num_rows:
-                first = first or batch.slice(0, 1)
-                last = batch.slice(batch.num_rows - 1, 1)
-        if first is not None:
-            number = pa.array([TaskContext.get().partitionId()], pa.int32())
-            for edge in (first, last):
-                yield pa.RecordBatch.from_arrays([*edge.columns, number], [*edge.schema.names, "number"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    edges = sorted(ordered.mapInArrow(border, f"{fields}, number int").collect(), key=lambda r: r["number"])
-    numbers = [r["number"] for r in edges[::2]]
-    types = [pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-
-    def outside(number: int, side: int) -> list[tuple]:
-        """The row next to partition ``number``, before (-1) or after (1) it."""
-        at = numbers.index(number) + side if number in numbers else -1
-        return [tuple(edges[2 * at + (side < 0)])[:6]] if 0 <= at < len(numbers) else []
-
-    around = {n: (outside(n, -1), outside(n, 1)) for n in numbers}
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(map(bytes, c) if t == pa.binary() else c, t) for c, t in zip(columns, types, strict=True)], _ORDER)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after = around.get(TaskContext.get().partitionId(), ([], []))
-        held, known = as_batch(before), 0  # rows not written yet; the first ``known`` of them only serve as neighbours
-        known = held.num_rows
-
-        def written(rows: pa.Table, skip: int, stop: int) -> pa.RecordBatch:
-            shared = _shared(rows)
-            more = np.maximum(np.append(-1, shared), np.append(shared, -1))[skip:stop]
-            part = rows.slice(skip, stop - skip).combine_chunks()
-            columns = [part.column(c).combine_chunks() for c in ("side", "row", "place")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum(more, 0), pa.int64())], ["side", "row", "place", "more"])
-
-        for batch in batches:
-            if batch.num_rows:
-                rows = pa.Table.from_batches([held, batch.cast(held.schema)])
-                # The last row waits for the next one; the one before it stays as its neighbour.
-                if rows.num_rows - 1 > known:
-                    yield written(rows, known, rows.num_rows - 1)
-                start = max(0, rows.num_rows - 2)
-                held, known = rows.slice(start).combine_chunks().to_batches()[0], rows.num_rows - 1 - start
-        rows = pa.Table.from_batches([held, as_batch(after)])
-        if held.num_rows > known:
-            yield written(rows, known, held.num_rows)
-
-    return ordered.mapInArrow(work, "side boolean, row long, place long, more long")
+    return cut_lineage(text_batches(joined).mapInArrow(work, "hash1 long, hash2 long, row long, start int, copies long, first_doc_id long"))
 
 
 def repeated_passages(docs: DataFrame, options: PassageOptions = OPTIONS) -> DataFrame:
     """One row per repeated span: ``doc_id``, ``start_word``, ``n_words``, ``first_doc_id``, ``copies``, ``is_first``.
 
-    Reads ``doc_id`` and ``text``; words are cut at ASCII white space and compared exactly. Every passage of ``min_words``
-    words that stands twice in the table, in two rows or in one, lies within a reported span of each row it stands in; a span is
-    covered by stretches of at least ``key_words`` words that occur elsewhere and has at least ``min_words`` words.
-    ``first_doc_id`` is the smallest id that shares a stretch of it, ``copies`` the largest number of its copies, and
-    ``is_first`` says that no stretch of it stands in a document with a smaller id. Null, empty and shorter texts have
-    no rows; equal rows are copies of each other; a null id is reported as null and is never the first; an empty table
-    gives no rows.
+    Reads ``doc_id`` and ``text``; words are cut at ASCII white space and compared by hashes of 128 bits. A span is a union of
+    passages of ``min_words`` words each of which stands twice in the table, in two rows or in one, and every such passage
+    lies within a span of each row it stands in. ``first_doc_id`` is the smallest id that shares a passage of it, ``copies`` the
+    largest number of copies found, and ``is_first`` says that no passage of it stands in a document with a smaller id.
+    Null, empty and shorter texts have no rows; equal rows are copies of each other; a null id is reported as null and is
+    never the first; an empty table gives no rows.
     """
     rows = _suffixes(docs, options)
-    zipped = F.posexplode(F.arrays_zip("places", "keys")).alias("number", "at")
-    suffixes = rows.select("row", "doc_id", zipped).select("row", "doc_id", "number", F.col("at.places").alias("place"), F.col("at.keys").alias("key"))
-    again = cut_lineage(suffixes.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id")).where("copies > 1"))
-    order, run = Window.partitionBy("row").orderBy("number"), Window.partitionBy("row", "run")
-    opens = F.coalesce(F.lag("number").over(order) != F.col("number") - 1, F.lit(True))
-    found = suffixes.join(again, "key").withColumn("opens", opens).withColumn("run", F.count_if("opens").over(order))
-    # A match that starts before its run has its first kept suffix within a window of the run's first one.
-    near = {
-        "begins": F.col("place") - F.min("place").over(run) < options.window,
-        "ends": F.max("place").over(run) - F.col("place") < options.window,
-    }
-    found = cut_lineage(found.withColumns(near).drop("opens"))
-    sides = found.groupBy("key").agg(F.bool_or("begins").alias("begins"), F.bool_or("ends").alias("ends"))
-    sides = cut_lineage(sides.where("begins or ends"))
-    needed = found.select("key", "row", "place").join(sides, "key")
-    more = _extensions(_contexts(docs, rows, needed, options))
-    beyond = more.groupBy("row", "place").agg(
-        F.max(F.when(F.col("side"), F.col("more"))).alias("left"), F.max(F.when(~F.col("side"), F.col("more"))).alias("right")
-    )
-    spans = found.join(beyond, ["row", "place"], "left").groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.min(F.col("place") - F.when(F.col("begins"), F.coalesce("left", F.lit(0))).otherwise(0)).alias("start_word"),
-        F.max(F.col("place") + options.key_words + F.when(F.col("ends"), F.coalesce("right", F.lit(0))).otherwise(0)).alias("end_word"),
+    suffixes = rows.select("row", "doc_id", F.explode(F.arrays_zip(*_KEPT)).alias("at")).select("row", "doc_id", "at.*")
+    again = cut_lineage(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    found = cut_lineage(suffixes.join(again, "key"))
+    # One of each equal stretch stands for all; alone it may still share passages with others of its key.
+    one = F.min(F.struct("row", "low", "high")).alias("one")
+    groups = cut_lineage(found.groupBy("key", "stretch").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id"), one))
+    open_keys = cut_lineage(groups.where("copies = 1").select("key").distinct())
+    needed = groups.join(open_keys, "key", "left_semi").select("one.*", "copies", "first_doc_id")
+    passages = _passages(docs, rows, needed, options)
+    shared = passages.groupBy("hash1", "hash2").agg(F.sum("copies").alias("copies"), F.min("first_doc_id").alias("first_doc_id")).where("copies > 1")
+    alone = passages.where("copies = 1").select("hash1", "hash2", "row", F.col("first_doc_id").alias("doc_id"), "start")
+    words = F.lit(options.min_words)
+    pieces = alone.join(cut_lineage(shared), ["hash1", "hash2"]).select("row", "doc_id", F.col("start"), (F.col("start") + words).alias("end"), "copies", "first_doc_id")
+    whole = found.join(groups.where("copies > 1").drop("one"), ["key", "stretch"])
+    pieces = pieces.unionByName(whole.select("row", "doc_id", F.col("low").alias("start"), (F.col("high") + words).alias("end"), "copies", "first_doc_id"))
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("start") > reach, F.lit(True))
+    spans = pieces.withColumn("opens", opens).withColumn("span", F.count_if("opens").over(order)).groupBy("row", "span").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").cast("long").alias("start_word"), F.max("end").alias("end_word"),
         F.max("copies").alias("copies"), F.min("first_doc_id").alias("first_doc_id"),
     )
-    spans = spans.withColumn("n_words", F.col("end_word") - F.col("start_word")).where(F.col("n_words") >= options.min_words)
     is_first = F.coalesce(F.col("doc_id") <= F.col("first_doc_id"), F.lit(False))
-    return spans.select("doc_id", "start_word", "n_words", "first_doc_id", "copies", is_first.alias("is_first"))
+    length = (F.col("end_word") - F.col("start_word")).alias("n_words")
+    return spans.select("doc_id", "start_word", length, "first_doc_id", "copies", is_first.alias("is_first"))
