@@ -46,6 +46,22 @@ def test_equals_brute_force(spark, options):
     assert run(spark, rows, options) == brute(rows, options.k)
 
 
+def test_the_first_shard_sets_a_floor_for_the_others(spark):
+    """Two shards: the second returns only what reaches the first one's k-th score, and nothing is lost."""
+    rows = rows_of(9, 400, 12)
+    options = search.SearchOptions(k=5, shard_rows=200, query_rows=50, first_rows=10)
+    assert run(spark, rows, options) == brute(rows, 5)
+    rng = np.random.default_rng(4)
+    matrix = rng.integers(-40, 40, (600, 16)).astype(float)
+    shard = search.Shard(np.arange(1000, 1600), matrix, search.SearchOptions(k=5, first_rows=50))
+    for _ in range(20):
+        query = rng.integers(-40, 40, 16).astype(float)
+        full = np.sort(matrix @ query)[::-1]
+        for floor, want in ((int(full[0]) + 1, 0), (int(full[2]), 3), (int(full[100]), 5), (None, 5)):
+            ids, scores = shard.top(0, query, floor)
+            assert scores.tolist() == full[:want].tolist() and len(ids) == want
+
+
 def test_few_repeated_and_no_rows(spark):
     rows = [(0, [1.0, 2.0], 0), (20, [0.5, -1.0], 0), (7, [-3.0, 0.25], 0), (0, [0.25, 0.0], 0), (7, [-3.0, 0.25], 0)]
     assert run(spark, rows, search.OPTIONS) == brute(rows)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchpath.session import cut_lineage
@@ -45,7 +45,7 @@ def whole_vectors(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
 def _dealt(vectors: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
     """Every row in one of ``n_own`` blocks of about equal size, once for each of the other side's blocks."""
     block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_own)).cast("int").alias(own)
-    return vectors.select("vec_id", "vector", block, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+    return vectors.select(*vectors.columns, block, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
 
 
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +86,8 @@ class Shard:
         self.postings = np.ascontiguousarray(matrix.T)
         self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
 
-    def top(self, query_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best vectors with another id."""
+    def top(self, query_id: int, query: np.ndarray, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` best vectors with another id, of those that reach ``floor`` if there is one."""
         k, first = self.options.k, self.options.first_rows
         own = self.ids != query_id
         place = np.flatnonzero(own[:first])
@@ -95,10 +95,13 @@ class Shard:
         best = _best(self.ids[place], scores, k)
         place, scores = place[best], scores[best]
         threshold = scores[-1] if len(scores) == k else None
+        if floor is not None:
+            threshold = floor if threshold is None else max(threshold, floor)
         more, more_scores = self._competitive(query, threshold, first)
         keep = own[more]
         place, scores = np.concatenate([place, more[keep]]), np.concatenate([scores, more_scores[keep]])
         best = _best(self.ids[place], scores, k)
+        best = best if floor is None else best[scores[best] >= floor]
         return self.ids[place[best]], scores[best]
 
     def _competitive(self, query: np.ndarray, threshold: float | None, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,12 +137,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, options: SearchOptions = OPTIO
     ties go to the smaller id, fewer than ``k`` candidates are all returned. A repeated candidate row counts as often as
     it stands; of several queries with one id the one with the smallest vector asks. Vectors of other lengths are filled
     up with zeros. Empty tables give no rows. Queries and vectors meet block by block, each pair of blocks as a bounded
-    group of its own; both sides may grow.
+    group of its own; both sides may grow. The first shard, a hash share of the vectors, is searched before the others, and
+    its ``k``-th score is the floor that a vector of any other shard must reach: they prune by it and return little.
     """
     stored = cut_lineage(vectors.select("vec_id", "vector"))
-    asked = cut_lineage(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    asked = cut_lineage(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")).toDF("asked_id", "asked"))
     n_shards = -(-max(1, stored.count()) // options.shard_rows)
     n_blocks = -(-max(1, asked.count()) // options.query_rows)
+    dealt = _dealt(stored, "shard", n_shards, "block", n_blocks)
+
+    def searched(shards: Column, queries: DataFrame) -> DataFrame:
+        left = dealt.where(shards).groupBy("shard", "block")
+        own = queries.select(F.col("asked_id").alias("vec_id"), F.col("asked").alias("vector"), "floor")
+        right = _dealt(own, "block", n_blocks, "shard", n_shards).where(shards).groupBy("shard", "block")
+        return left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score long")
+
     names = ["query_id", "vec_id", "score"]
 
     def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
@@ -151,13 +163,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, options: SearchOptions = OPTIO
         matrix, wanted = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (matrix, wanted))
         kind = _exact_type(matrix, wanted)
         shard = Shard(ids, matrix.astype(kind), options)
-        found = [shard.top(q, v) for q, v in zip(query_ids, wanted.astype(kind), strict=True)]
+        floors = queries.column("floor").to_pylist()
+        found = [shard.top(q, v, f) for q, v, f in zip(query_ids, wanted.astype(kind), floors, strict=True)]
         scores = np.concatenate([s for _, s in found]).astype(np.int64)
         return pa.table([np.repeat(query_ids, [len(f) for f, _ in found]), np.concatenate([f for f, _ in found]), scores], names)
 
-    left = _dealt(stored, "shard", n_shards, "block", n_blocks).groupBy("shard", "block")
-    right = _dealt(asked, "block", n_blocks, "shard", n_shards).groupBy("shard", "block")
-    found = left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score long")
+    opened = cut_lineage(searched(F.col("shard") == 0, asked.withColumn("floor", F.lit(None).cast("long"))))
+    floors = opened.groupBy(F.col("query_id").alias("asked_id")).agg(F.when(F.count("*") >= options.k, F.min("score")).alias("floor"))
+    found = opened.union(searched(F.col("shard") > 0, asked.join(floors, "asked_id", "left")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.k).select("query_id", "rank", "vec_id", "score")
 
