@@ -137,3 +137,26 @@ def test_owning_window_contains_the_conversion(spark):
     assert owned.count() == 2
     inside = (F.col(K.CONV_DATE) >= F.col(K.TOUCH_DATE)) & (F.col(K.CONV_DATE) < F.col("fin_ventana"))
     assert owned.where(~inside).isEmpty()
+
+
+@pytest.mark.parametrize("cap_all", [False, True])
+def test_batches_give_what_one_run_gives(spark, cap_all):
+    """Gaps beyond the limit, subjects first touched after they converted, touches and conversions in any batch."""
+    rng = random.Random(4)
+    t = [(f"s{rng.randrange(40)}", rng.randrange(60), rng.choice(["sms", "push", "x"])) for _ in range(160)]
+    c = sorted({(f"s{rng.randrange(50)}", rng.randrange(70), rng.choice("AB")) for _ in range(260)})
+    whole = A.conversion_owners(touches(spark, t), conversions(spark, c), 5, cap_all=cap_all)
+    owners = state = None
+    for since, until in ((0, 15), (15, 16), (16, 40), (40, 80)):
+        batch = touches(spark, [r for r in t if since <= r[1] < until]), conversions(spark, [r for r in c if since <= r[1] < until])
+        if owners is None:
+            owners, state = A.conversion_owners(*batch, 5, cap_all=cap_all), A.last_touch_state(batch[0])
+        else:
+            owners = A.extended_owners(owners, state, *batch, 5, cap_all=cap_all)
+            state = A.last_touch_state(batch[0], before=state)
+        owners, state = (spark.createDataFrame(df.collect(), df.schema) for df in (owners, state))
+    columns = [K.SUBJECT, K.CONV_DATE, "variantes", "impactado"]
+    texts = [F.coalesce(F.col(x).cast("string"), F.lit("-")).alias(x) for x in ("toque", "toques_previos", "conversion")]
+    assert records(owners.select(*columns, *texts), *columns, "toque", "toques_previos", "conversion") == records(
+        whole.select(*columns, *texts), *columns, "toque", "toques_previos", "conversion"
+    )

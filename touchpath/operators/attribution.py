@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchpath import constants as K
@@ -81,20 +81,28 @@ def conversion_owners(
     and how many distinct records share the day, so the diagnostics need no
     further join. ``conversions`` must hold distinct records.
     """
-    touched = touch_days(touches, priority, tie_policy).select(
+    days = touch_days(touches, priority, tie_policy)
+    return _owned(_touch_side(days, F.col("toques_dia")), _conversion_side(conversion_days(conversions)), last_touch_days, cap_all)
+
+
+def _touch_side(days: DataFrame, counted: Column) -> DataFrame:
+    """Touch days on the timeline; ``counted`` is what a day adds to the touches before a conversion."""
+    return days.select(
         *SUBJECT_KEY,
         F.col(K.TOUCH_DATE).alias("dia"),
         F.lit(0).alias("lado"),
         F.struct(K.TOUCH_DATE, "ganador", "toques_dia").alias("toque"),
-        "toques_dia",
+        counted.alias("toques_dia"),
     )
-    converted = conversion_days(conversions).select(
-        *SUBJECT_KEY,
-        F.col(K.CONV_DATE).alias("dia"),
-        F.lit(1).alias("lado"),
-        "conversion",
-        "variantes",
+
+
+def _conversion_side(days: DataFrame) -> DataFrame:
+    return days.select(
+        *SUBJECT_KEY, F.col(K.CONV_DATE).alias("dia"), F.lit(1).alias("lado"), "conversion", "variantes"
     )
+
+
+def _owned(touched: DataFrame, converted: DataFrame, last_touch_days: int, cap_all: bool) -> DataFrame:
     timeline = touched.unionByName(converted, allowMissingColumns=True)
     order = Window.partitionBy(*SUBJECT_KEY).orderBy("dia", "lado")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -120,6 +128,55 @@ def conversion_owners(
     )
 
 
+def last_touch_state(
+    touches: DataFrame,
+    priority: Mapping[str, int] = K.CHANNEL_PRIORITY,
+    tie_policy: str = "priority",
+    before: DataFrame | None = None,
+) -> DataFrame:
+    """What later batches need of the touches so far: per subject its last touch day and the touches up to it.
+
+    ``before`` is the state of the earlier batches, whose days all lie before those of ``touches``.
+    """
+    days = touch_days(touches, priority, tie_policy).withColumn("toques_hasta", F.col("toques_dia"))
+    if before is not None:
+        days = days.unionByName(before)
+    last = F.max_by(F.struct(K.TOUCH_DATE, "ganador", "toques_dia"), K.TOUCH_DATE).alias("ultimo")
+    return days.groupBy(*SUBJECT_KEY).agg(last, F.sum("toques_hasta").alias("toques_hasta")).select(
+        *SUBJECT_KEY, "ultimo.*", "toques_hasta"
+    )
+
+
+def extended_owners(
+    owners: DataFrame,
+    state: DataFrame,
+    touches: DataFrame,
+    conversions: DataFrame,
+    last_touch_days: int = K.LAST_TOUCH_DAYS,
+    priority: Mapping[str, int] = K.CHANNEL_PRIORITY,
+    cap_all: bool = False,
+    tie_policy: str = "priority",
+) -> DataFrame:
+    """``conversion_owners`` of all batches, from those of the earlier ones and a new batch of later days.
+
+    New touches can change only conversions after their subject's last touch day so far: its window, which ended with
+    the limit, stays open until the next touch. Those rows and the new ones are attributed again, with the ``state``
+    (``last_touch_state``) as the one touch day of the past; all other rows are handed on. The log of the past is not
+    read. Without such rows of the past, or without a state, a subject starts anew.
+    """
+    days = touch_days(touches, priority, tie_policy)
+    again = days.select(*SUBJECT_KEY).distinct().withColumn("_otra_vez", F.lit(True))
+    ends = state.select(*SUBJECT_KEY, F.col(K.TOUCH_DATE).alias("_ultimo"))
+    old = owners.join(again, list(SUBJECT_KEY), "left").join(ends, list(SUBJECT_KEY), "left")
+    changes = F.col("_otra_vez").isNotNull() & (F.col("_ultimo").isNull() | (F.col(K.CONV_DATE) >= F.col("_ultimo")))
+    kept = old.where(~changes).drop("_otra_vez", "_ultimo")
+    converted = conversion_days(conversions).unionByName(
+        old.where(changes).select(*CONVERSION_KEY, "variantes", "conversion")
+    )
+    touched = _touch_side(days, F.col("toques_dia")).unionByName(_touch_side(state, F.col("toques_hasta")))
+    return kept.unionByName(_owned(touched, _conversion_side(converted), last_touch_days, cap_all))
+
+
 def attribution_detail(owners: DataFrame, tie_count: str = "touches") -> DataFrame:
     """One attributed conversion per subject and day, with the winning touch.
 
