@@ -6,7 +6,6 @@ checkpoint folder, so a lost executor costs the running stage at most.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from touchpath.llm import lines, mixing, neardup, packing, quality
 from touchpath.llm.common import table
 from touchpath.llm.queries import digests, learnt_quality, sequences
-from touchpath.session import shared_folder
+from touchpath.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,13 +56,13 @@ ORACLE_SQL = None
 
 
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored rows of the last stage: ``doc_id``, ``piece``, ``start``, ``length``, ``ids``, ``sequence_id``, ``offset``."""
+    """The stored rows of the last stage: ``doc_id``, ``piece``, ``start``, ``length``, ``ids``, ``sequence_id``, ``offset``.
+
+    The tables of the stages go when the application ends; write the rows where they are to stay.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs
 
 
