@@ -46,7 +46,8 @@ def source_targets(sized: DataFrame, options: MixOptions = OPTIONS) -> DataFrame
     """One row per source: ``source_size``, ``n`` and ``target``.
 
     Water-filling in closed form: by ascending cap per weight, a source is capped if all sources up to it at their caps
-    and the rest at its level need no more than the whole budget; the others share what is left by weight.
+    and the rest at its level need no more than the whole budget; the others share what is left by weight. The totals of
+    all sources, one row each, are ordered in one task: sources are corpora, not sites.
     """
     totals = sized.groupBy(*_GROUP).agg(F.sum("words").alias("source_size"), F.count("*").alias("n"))
     by_name = Window.orderBy(*_GROUP)  # one row per source
