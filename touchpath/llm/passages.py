@@ -83,34 +83,33 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
-_KEPT = ["key", "stretch", "low", "high"]
+#: ``reach`` packs the first start of a suffix's passages and how many follow it, fewer than ``window``.
+_KEPT = ["key", "stretch", "reach"]
 
 
 def _suffixes(docs: DataFrame, options: PassageOptions) -> DataFrame:
     """One row per document with its kept suffixes, stored: ``row``, ``doc_id``, ``text_hash`` and lists of ``_KEPT``."""
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists: list[list[np.ndarray]] = [[], [], [], []]
+            lists: list[list[np.ndarray]] = [[], [], []]
             for text in batch.column(2).to_pylist():
                 hashes = word_hashes(text)
                 at, low, high = selected(hashes, options)
                 key = Rolling(hashes, _ODD[1001]).of(at, at + options.key_words) if len(at) else at
                 stretch = Rolling(hashes, _ODD[1002]).of(low, high + options.min_words) if len(at) else at
-                for column, values in zip(lists, (key, stretch, low, high), strict=True):
+                for column, values in zip(lists, (key, stretch, low * options.window + high - low), strict=True):
                     column.append(values)
             ends = pa.array(np.cumsum([0, *map(len, lists[0])], dtype=np.int32))
-            arrays = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *x]), t)) for x, t in zip(lists, types, strict=True)]
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *x]))) for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "text_hash", *_KEPT])
 
-    schema = "doc_id long, text_hash long, key array<long>, stretch array<long>, low array<int>, high array<int>"
+    schema = "doc_id long, text_hash long, key array<long>, stretch array<long>, reach array<long>"
     done = text_batches(_hashed(docs)).mapInArrow(work, schema)
     return cut_lineage(done.where(F.size("key") > 0).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _passages(docs: DataFrame, rows: DataFrame, needed: DataFrame, options: PassageOptions) -> DataFrame:
-    """Every passage of the suffixes ``needed`` (``row``, ``low``, ``high``, ``copies``, ``first_doc_id``) with its two hashes, stored."""
+    """Every passage of the suffixes ``needed`` (``row``, ``reach``, ``copies``, ``first_doc_id``) with its two hashes, stored."""
     names = ["hash1", "hash2", "row", "start", "copies", "first_doc_id"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
@@ -118,8 +117,9 @@ def _passages(docs: DataFrame, rows: DataFrame, needed: DataFrame, options: Pass
         for batch in batches:
             for row, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 hashes = word_hashes(text)
-                sizes = [w["high"] - w["low"] + 1 for w in wanted]
-                start = np.concatenate([np.arange(w["low"], w["high"] + 1) for w in wanted])
+                reach = [divmod(w["reach"], options.window) for w in wanted]
+                sizes = [more + 1 for _, more in reach]
+                start = np.concatenate([np.arange(low, low + more + 1) for low, more in reach])
                 both = [Rolling(hashes, base).of(start, start + options.min_words) for base in _ODD[1003:1005]]
                 own = np.repeat(np.arange(len(wanted)), sizes)
                 copies = np.array([w["copies"] for w in wanted], np.int64)[own]
@@ -127,7 +127,7 @@ def _passages(docs: DataFrame, rows: DataFrame, needed: DataFrame, options: Pass
                 columns = [*both, np.full(len(start), row, np.int64), start, copies]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types[:-1], strict=True)), first], names)
 
-    wanted = needed.groupBy("row").agg(F.collect_list(F.struct("low", "high", "copies", "first_doc_id")).alias("wanted"))
+    wanted = needed.groupBy("row").agg(F.collect_list(F.struct("reach", "copies", "first_doc_id")).alias("wanted"))
     wanted = wanted.join(rows.select("row", F.coalesce("doc_id", F.lit(-1)).alias("_id"), "text_hash"), "row")
     texts = _hashed(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "text_hash", "text").dropDuplicates(["_id", "text_hash"])
     joined = texts.join(wanted, ["_id", "text_hash"]).select("row", "text", "wanted")
@@ -149,7 +149,7 @@ def repeated_passages(docs: DataFrame, options: PassageOptions = OPTIONS) -> Dat
     again = cut_lineage(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     found = cut_lineage(suffixes.join(again, "key"))
     # One of each equal stretch stands for all; alone it may still share passages with others of its key.
-    one = F.min(F.struct("row", "low", "high")).alias("one")
+    one = F.min(F.struct("row", "reach")).alias("one")
     groups = cut_lineage(found.groupBy("key", "stretch").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id"), one))
     open_keys = cut_lineage(groups.where("copies = 1").select("key").distinct())
     needed = groups.join(open_keys, "key", "left_semi").select("one.*", "copies", "first_doc_id")
@@ -159,7 +159,8 @@ def repeated_passages(docs: DataFrame, options: PassageOptions = OPTIONS) -> Dat
     words = F.lit(options.min_words)
     pieces = alone.join(cut_lineage(shared), ["hash1", "hash2"]).select("row", "doc_id", F.col("start"), (F.col("start") + words).alias("end"), "copies", "first_doc_id")
     whole = found.join(groups.where("copies > 1").drop("one"), ["key", "stretch"])
-    pieces = pieces.unionByName(whole.select("row", "doc_id", F.col("low").alias("start"), (F.col("high") + words).alias("end"), "copies", "first_doc_id"))
+    low, more = F.expr(f"cast(reach div {options.window} as int)"), F.expr(f"cast(reach % {options.window} as int)")
+    pieces = pieces.unionByName(whole.select("row", "doc_id", low.alias("start"), (low + more + words).alias("end"), "copies", "first_doc_id"))
     order = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce(F.col("start") > reach, F.lit(True))
