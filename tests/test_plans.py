@@ -64,6 +64,12 @@ def test_scan_is_pushed_down_and_pruned(spark, sf_dir, journey):
     assert "In(event_type" in initial(journey.attribution)
 
 
+def test_key_and_date_are_parsed_once_a_row(spark, sf_dir, journey):
+    for df in (journey.touches, journey.conversions, V.orders_journey(spark, sf_dir).touches):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") == 1
+
+
 def test_a_hot_subject_brings_at_most_two_rows_per_day(spark):
     """A third of the log on one subject: what reaches its window task is bounded by the calendar."""
     log = spark.range(30000).select(

@@ -39,23 +39,29 @@ def _waved(raw: DataFrame, wave: str | None) -> DataFrame:
     return raw if wave is None else raw.withColumn(K.WAVE, F.lit(wave))
 
 
+def _valid(raw: DataFrame, day: str, rules: CleaningRules) -> DataFrame:
+    """Valid rows of ``raw`` with key and ``day`` in typed form, its other columns as they are.
+
+    Both are generated, not projected: a filter would be pushed below a projection, and they would be parsed twice a row.
+    """
+    parsed = F.inline(F.array(F.struct(subject_key(K.SUBJECT).alias(K.SUBJECT), rules.parse_date(day).alias(day))))
+    rest = [c for c in raw.columns if c not in (K.SUBJECT, day)]
+    return raw.select(*rest, parsed).where(rules.valid_key(F.col(K.SUBJECT)) & F.col(day).isNotNull())
+
+
 def clean_touches(
     raw: DataFrame, wave: str | None = None, rules: CleaningRules = RULES, extra: Sequence[str] = ()
 ) -> DataFrame:
     """Typed touches of valid rows; ``wave`` tags a single input, else the column must exist."""
-    return (
-        _waved(raw, wave)
-        .select(
-            K.WAVE,
-            subject_key(K.SUBJECT).alias(K.SUBJECT),
-            rules.parse_date(K.TOUCH_DATE).alias(K.TOUCH_DATE),
-            folded(K.CHANNEL).alias(K.CHANNEL),
-            rules.label(K.STEP, K.NO_STEP).alias(K.STEP),
-            rules.label(K.VARIATION, K.NO_VARIATION).alias(K.VARIATION),
-            K.ACCOUNT,
-            *extra,
-        )
-        .where(rules.valid_key(F.col(K.SUBJECT)) & F.col(K.TOUCH_DATE).isNotNull())
+    return _valid(_waved(raw, wave), K.TOUCH_DATE, rules).select(
+        K.WAVE,
+        K.SUBJECT,
+        K.TOUCH_DATE,
+        folded(K.CHANNEL).alias(K.CHANNEL),
+        rules.label(K.STEP, K.NO_STEP).alias(K.STEP),
+        rules.label(K.VARIATION, K.NO_VARIATION).alias(K.VARIATION),
+        K.ACCOUNT,
+        *extra,
     )
 
 
@@ -66,15 +72,8 @@ def clean_conversions(
     sources = dict(
         zip(K.CONVERSION_ATTRS, ("channel", "ciudad", "departamento", "bfr_vc_nm", "bfr_dt_nm"))
     )
-    clean = (
-        _waved(raw, wave)
-        .select(
-            K.WAVE,
-            subject_key(K.SUBJECT).alias(K.SUBJECT),
-            rules.parse_date(K.CONV_DATE).alias(K.CONV_DATE),
-            *[upper_label_or(src, K.NO_DATA).alias(name) for name, src in sources.items()],
-        )
-        .where(rules.valid_key(F.col(K.SUBJECT)) & F.col(K.CONV_DATE).isNotNull())
+    clean = _valid(_waved(raw, wave), K.CONV_DATE, rules).select(
+        K.WAVE, K.SUBJECT, K.CONV_DATE, *[upper_label_or(src, K.NO_DATA).alias(name) for name, src in sources.items()]
     )
     return clean.distinct() if distinct else clean
 
