@@ -14,6 +14,8 @@ from touchpath.session import cut_lineage
 _GROUP = ["_unnamed", "_source"]
 #: A repeated row is written again in two steps of at most this many copies each.
 _COPIES = 100_000
+#: Rows that may be sent to every task.
+_BROADCAST_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -133,14 +135,17 @@ def mix_documents(docs: DataFrame, options: MixOptions = OPTIONS) -> DataFrame:
         return rows.select(*docs.columns, size, F.explode(F.filter(takes, lambda n: n > 0)).alias(own["take"]))
 
     whole = passes(met(taken.where(~F.col(own["cut"]))), F.expr(f"`{own['part']}` div `{own['rows']}`"))
-    ends = cut_lineage(met(taken.where(own["cut"])).withColumn(own["number"], F.monotonically_increasing_id()))
-    narrow = ends.select(*(F.col(own[c]).alias(f"_{c}") for c in ("unnamed", "source", "number")), F.lit(1).cast("long").alias("_one"))
-    narrow = cut_lineage(narrow.withColumn("key", uniform_key(F.col("_number"))))
-    counts = cut_lineage(narrow.groupBy(*_GROUP).agg(F.count("*").alias("n")))
-    order = running_total(narrow, counts, _GROUP, "key", ["_number"], "_one", "_place")
-    ends = ends.join(order.select(F.col("_number").alias(own["number"]), F.col("_place").alias(own["place"])), own["number"])
-    last = F.greatest(F.lit(0), F.least(size, F.col(own["part"]) - F.col(own["place"]) * size))
-    whole = whole.unionByName(passes(ends, last))
+    cut = taken.where(own["cut"])
+    n_cut = cut.count()  # one a source at most
+    if n_cut:
+        ends = cut_lineage(met(F.broadcast(cut) if n_cut <= _BROADCAST_ROWS else cut).withColumn(own["number"], F.monotonically_increasing_id()))
+        narrow = ends.select(*(F.col(own[c]).alias(f"_{c}") for c in ("unnamed", "source", "number")), F.lit(1).cast("long").alias("_one"))
+        narrow = cut_lineage(narrow.withColumn("key", uniform_key(F.col("_number"))))
+        counts = cut_lineage(narrow.groupBy(*_GROUP).agg(F.count("*").alias("n")))
+        order = running_total(narrow, counts, _GROUP, "key", ["_number"], "_one", "_place")
+        ends = ends.join(order.select(F.col("_number").alias(own["number"]), F.col("_place").alias(own["place"])), own["number"])
+        last = F.greatest(F.lit(0), F.least(size, F.col(own["part"]) - F.col(own["place"]) * size))
+        whole = whole.unionByName(passes(ends, last))
     take = F.col(own["take"])
     pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     text = F.when(take >= size, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), take.cast("int")), ""))
