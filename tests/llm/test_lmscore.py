@@ -156,3 +156,17 @@ def test_learns_what_attention_can_see(spark):
             found[rate, mixed] = sum(r.score for r in part) / sum(r.n_tokens for r in part)
     assert found[1e-2, False] > found[0.0, False]
     assert found[1e-2, False] > found[1e-2, True]
+
+
+def test_attention_is_trained_on_every_window_of_every_training_text(spark, monkeypatch):
+    """All rounds together see the tokens of all training texts, each once; null and repeated ids and empty texts too."""
+    monkeypatch.setattr(lmscore, "HELD_WINDOWS", 3)
+    rng = random.Random(8)
+    rows = [(i % 40 if i % 9 else None, words(rng, 0, 300) if i % 7 else None) for i in range(60)]
+    encoded = lmscore._encoded(documents(spark, rows), F.lit(True), {}).where("place >= 0").select("doc_id", "ids").coalesce(1)
+    table = encoded.toArrow().combine_chunks().to_batches()
+    classes = lmscore.TokenClasses(np.arange(lmscore.VOCABULARY), np.zeros(lmscore.VOCABULARY))
+    targets = [t for number in range(attention.OPTIONS.rounds) for batch in table for _, t in lmscore._windows_of(batch, number, classes, attention.OPTIONS)]
+    seen = np.concatenate([t[t >= 0] for t in targets])
+    ids = np.concatenate([np.frombuffer(x, "<u2") for batch in table for x in batch.column(1).to_pylist()])
+    assert len(table) and sorted(seen.tolist()) == sorted(ids.tolist())

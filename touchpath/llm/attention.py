@@ -18,7 +18,7 @@ Params = dict[str, np.ndarray]
 
 @dataclass(frozen=True)
 class AttentionOptions:
-    """Sizes of the model and of its training. One window in ``every`` of each training text is trained on, once."""
+    """Sizes of the model and of its training. One window in ``every`` of each training text is trained on, once; by default all."""
 
     groups: int = 32
     members: int = 32
@@ -27,9 +27,9 @@ class AttentionOptions:
     hidden: int = 16
     context: int = 8
     stride: int = 32
-    every: int = 24
+    every: int = 1
     rounds: int = 4
-    batch: int = 32
+    batch: int = 128
     rate: float = 1.2e-2
     scored_windows: int = 256
 
@@ -231,8 +231,9 @@ def gradient(params: Params, pairs: Pairs, inputs: np.ndarray, targets: np.ndarr
     dh = dy + dr @ params["up"].T
     g["mix"] = over(z, dh)
     dz = dh @ params["mix"].T
-    da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
+    ds, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
+    ds -= (dz * z).sum(axis=-1, keepdims=True)  # what the weights' sum of 1 takes back
+    ds *= a
     dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
     g["query"], g["key"], g["value"] = over(asked, dq), over(x, dk), over(x, dv)
     dx = dk @ params["key"].T + dv @ params["value"].T

@@ -2,10 +2,11 @@
 
 The model's text is the words of the text, A-Z in lower case, each after one space, and an end. Texts are encoded once.
 
-The corpus gives word counts (base), counts of subword ids and of pairs of their classes (all training texts), and windows
-to train the attention on (one in ``every`` of each training text). Training runs in the tasks: in each round every task trains
-on its windows from the common parameters, and the tasks' parameters are averaged, weighted by windows, in a Spark
-aggregation. What reaches the driver is bounded: ids of the vocabulary, pairs of classes, parameters.
+All of it is learned from all training texts: word counts (base), counts of subword ids and of pairs of their classes, and
+the attention, trained on every window of every training text once. Training runs in the tasks: a round takes its share of
+the windows of each text, every task trains on them from the common parameters, and the tasks' parameters are averaged,
+weighted by windows, in a Spark aggregation. Windows are cut from the stored ids when their round comes; they are not stored.
+What reaches the driver is bounded: ids of the vocabulary, pairs of classes, parameters.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ KEPT_WORDS = 300_000
 HELD_WORDS = 200_000
 #: A word with a share of at least 1/HOT of all tokens is looked up in every task; there are at most HOT of them.
 HOT = 131_072
+#: Training windows that a task cuts from its texts at a time.
+HELD_WINDOWS = 8_192
 
 
 @dataclass(frozen=True)
@@ -236,8 +239,8 @@ def token_classes(counts: np.ndarray, options: AttentionOptions) -> TokenClasses
     return TokenClasses(of, np.log(weight / total[of]))
 
 
-def _chosen(doc_id: int | None, n: int, options: AttentionOptions) -> np.ndarray:
-    """Round of each of a text's ``n`` windows, -1 for those that are not trained on; by hash, so the same in every run."""
+def _rounds(doc_id: int | None, n: int, options: AttentionOptions) -> np.ndarray:
+    """Round of each of a text's ``n`` windows, by hash, so the same in every run; -1 for none, where ``every`` is not 1."""
     seed = np.uint64(zlib.crc32(b"" if doc_id is None else str(doc_id).encode()))
     x = (np.arange(n, dtype=np.uint64) + (seed << np.uint64(24))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -245,61 +248,62 @@ def _chosen(doc_id: int | None, n: int, options: AttentionOptions) -> np.ndarray
     return np.where(x % np.uint64(options.every) == 0, (x // np.uint64(options.every)) % np.uint64(options.rounds), -1).astype(np.int64)
 
 
-def _gathered(encoded: DataFrame, classes: TokenClasses, options: AttentionOptions) -> DataFrame:
-    """Counts ``n`` of pairs ``code`` of classes over all texts, and the ``windows`` of each ``round``, stored."""
+def _pair_counts(encoded: DataFrame, classes: TokenClasses, options: AttentionOptions) -> np.ndarray:
+    """Counts of pairs of classes over all texts."""
+    size = options.classes
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = options.classes
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(size * size, dtype=np.int64)
         for batch in batches:
-            texts = [classes.of[ids] for ids in _texts(batch.column(1))]
-            if not texts:
-                continue
-            of, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+            of = classes.of[np.concatenate([np.zeros(0, np.uint16), *_texts(batch.column(0))])]
             pairs += np.bincount(np.concatenate((of[-1:], of[:-1])) * size + of, minlength=size * size)
-            counts = attention.window_counts(ends, options).tolist()
-            rounds = np.concatenate([_chosen(d, n, options) for d, n in zip(batch.column(0).to_pylist(), counts, strict=True)])
-            chosen = np.flatnonzero(rounds >= 0)
-            inputs, scored, _ = attention.windows(of, ends, options, chosen)
-            targets = np.where(scored >= 0, of[np.maximum(scored, 0)], -1)
-            both = np.concatenate((inputs, targets), axis=1).astype("<i2")
-            yield batch_of([(r, None, None, both[rounds[chosen] == r].tobytes()) for r in np.unique(rounds[chosen]).tolist()])
         at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(pairs[at]), pa.nulls(len(at), pa.binary())], ["round", "code", "n", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(pairs[at])], ["code", "n"])
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["round", "code", "n", "windows"])
+    found = text_batches(encoded.select("ids")).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size * size, dtype=np.int64)
+    counts[found["code"].to_numpy()] = found["n"].to_numpy()
+    return counts
 
-    rows = text_batches(encoded.select("doc_id", "ids")).mapInArrow(gather, "round int, code int, n long, windows binary")
-    return stored(rows, "lm-windows")
 
+def _windows_of(batch: pa.RecordBatch, number: int, classes: TokenClasses, options: AttentionOptions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and targets of the windows that round ``number`` takes of the texts of ``batch``, ``HELD_WINDOWS`` at a time, mixed."""
+    texts = [classes.of[ids] for ids in _texts(batch.column(1))]
+    if not texts:
+        return
+    of, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    counts = attention.window_counts(ends, options).tolist()
+    rounds = np.concatenate([_rounds(d, n, options) for d, n in zip(batch.column(0).to_pylist(), counts, strict=True)])
+    chosen = np.random.default_rng(number).permutation(np.flatnonzero(rounds == number))
+    for at in range(0, len(chosen), HELD_WINDOWS):
+        inputs, scored, _ = attention.windows(of, ends, options, chosen[at : at + HELD_WINDOWS])
+        yield inputs, np.where(scored >= 0, of[np.maximum(scored, 0)], -1)
 
-def _trained(gathered: DataFrame, pairs: Pairs, options: AttentionOptions) -> Params:
+
+def _trained(encoded: DataFrame, classes: TokenClasses, pairs: Pairs, options: AttentionOptions) -> Params:
     """Parameters after all rounds; in a round every task starts from the same parameters, and the results are averaged."""
     params = attention.initial(options)
-    width = options.places + options.stride
 
     def round_of(number: int, params: Params) -> np.ndarray:
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                rest = np.zeros((0, width), dtype=np.int64)
+                inputs, targets = np.zeros((0, options.places), np.int16), np.zeros((0, options.stride), np.int64)
                 for batch in batches:
-                    for value in batch.column(0).to_pylist():
-                        rest = np.concatenate((rest, np.frombuffer(value, "<i2").astype(np.int64).reshape(-1, width)))
-                        while len(rest) >= options.batch:
-                            yield rest[: options.batch, : options.places], rest[: options.batch, options.places :]
-                            rest = rest[options.batch :]
-                if len(rest):
-                    yield rest[:, : options.places], rest[:, options.places :]
+                    for more in _windows_of(batch, number, classes, options):
+                        inputs, targets = (np.concatenate(x) for x in zip((inputs, targets), more, strict=True))
+                        whole = len(inputs) // options.batch * options.batch
+                        for at in range(0, whole, options.batch):
+                            yield inputs[at : at + options.batch], targets[at : at + options.batch]
+                        inputs, targets = inputs[whole:], targets[whole:]
+                if len(inputs):
+                    yield inputs, targets
 
             after, seen = attention.train_locally(params, pairs, steps(), options.rate / (1 + number), options)
             values = np.concatenate((attention.flat(after).astype(np.float64), [1.0])) * seen if seen else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "v"])
 
-        chosen = gathered.where(F.col("round") == number).select("windows")
-        sums = chosen.mapInArrow(train, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        rows = text_batches(encoded.select("doc_id", "ids"))
+        sums = rows.mapInArrow(train, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         values = np.zeros(len(sums))
         values[sums["i"].to_numpy()] = sums["v"].to_numpy()
         return values
@@ -314,12 +318,8 @@ def _trained(gathered: DataFrame, pairs: Pairs, options: AttentionOptions) -> Pa
 def train(encoded: DataFrame, options: AttentionOptions = attention.OPTIONS) -> Model:
     """The model of the texts of ``encoded`` (``doc_id``, ``ids``); without any row it is the untrained model."""
     classes = token_classes(_id_counts(encoded), options)
-    gathered = _gathered(encoded, classes, options)
-    counts = np.zeros(options.classes**2, dtype=np.int64)
-    found = gathered.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    counts[found["code"].to_numpy()] = found["n"].to_numpy()
-    pairs = attention.pair_logits(counts, options)
-    return Model(classes, pairs, _trained(gathered, pairs, options), options)
+    pairs = attention.pair_logits(_pair_counts(encoded, classes, options), options)
+    return Model(classes, pairs, _trained(encoded, classes, pairs, options), options)
 
 
 def log10_of(model: Model, texts: list[np.ndarray]) -> np.ndarray:
