@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -86,6 +87,40 @@ def test_ordinal_equals_sorting(spark):
     assert records(got, "g", "pos", "k") == sorted(expected)
 
 
+def test_route_report_leaves_the_winner_out_and_makes_runs_once_a_route(spark):
+    """Routes need days and counts: no task looks for a day's winning touch, and runs are made of distinct lists of sends."""
+    t, c = touches(spark, TOUCHES), conversions(spark, [("a", 4), ("b", 3), ("c", 2)])
+    report = R.route_report(t, A.attribution_detail(A.conversion_owners(t, c)))
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "prioridad" not in plan and "ganador" not in plan
+    assert re.search(r"keys=\[wave#\d+, pasos#\d+, veces#\d+", plan)
+    assert records(report, "ruta_key", "msisdn_impactados", "toques_prom") == [
+        ("one > one > two", 1, None), ("one > three", 1, 2.0), ("one > two", 2, 2.0),
+    ]
+
+
+def test_routes_equal_plain_counting(spark):
+    """Lists of sends that differ by day and spell the same are one route, with the sums of all their subjects."""
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(150)}", rng.randrange(4), "sms", f"st{rng.randrange(2)}") for _ in range(600)]
+    sold = [(f"s{i}", rng.randrange(6)) for i in range(0, 150, 2)]
+    t, c = touches(spark, rows), conversions(spark, sold)
+    detail = A.attribution_detail(A.conversion_owners(t, c))
+    for once in (False, True):
+        spelled = {}
+        for s in {r[0] for r in rows}:
+            mine = sorted((r[1], r[3]) for r in rows if r[0] == s)
+            spelled[s] = " > ".join(step for _, step in (sorted(set(mine)) if once else mine))
+        credit = {r[K.SUBJECT]: r for r in detail.groupBy(K.SUBJECT).agg(F.count("*").alias("conv")).collect()}
+        expected = {}
+        for s, route in spelled.items():
+            reached, converted = expected.get(route, (0, 0))
+            expected[route] = (reached + 1, converted + (s in credit))
+        got = R.route_report(t, detail, once).collect()
+        assert {r.ruta_key: (r.msisdn_impactados, r.msisdn_convertidos) for r in got} == expected
+        assert {r.ruta_key: r.msisdn_en_ruta for r in R.routes(t, once).collect()} == {k: v[0] for k, v in expected.items()}
+
+
 def test_building_a_route_report_starts_no_job(spark, sf_dir):
     spark.sparkContext.setJobGroup("build-routes", "routes")
     j = V.events_journey(spark, sf_dir)
