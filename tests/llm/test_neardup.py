@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from llm.conftest import documents, words
+from touchpath.llm import components as module
 from touchpath.llm import neardup
 from touchpath.llm.components import components
 
@@ -136,3 +137,30 @@ def test_components_equal_brute_force(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_edges_run_in_few_tasks(spark, monkeypatch):
+    """However many partitions a shuffle has; many edges keep them, with the same components."""
+    store, parts = module.cut_lineage, []
+
+    def cut(df):
+        done = store(df)
+        parts.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(module, "cut_lineage", cut)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    found = []
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for few in (1_000_000, 0):
+            monkeypatch.setattr(module, "FEW", few)
+            parts.clear()
+            found.append({(r.node, r.component) for r in components(links).collect()})
+            assert len(parts) > 4 and set(parts[1:]) == {1 if few else 23}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}

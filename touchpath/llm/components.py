@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 from touchpath.session import cut_lineage
 
+#: Up to ``FEW`` edges, a round runs in a task for every ``TASK_EDGES`` of them, whatever number of partitions a shuffle has;
+#: hundreds of nearly empty tasks and files a step would cost more than the edges. More edges stay as Spark deals them.
+FEW = 1_000_000
+TASK_EDGES = 100_000
 
-def _stars(pairs: DataFrame) -> DataFrame:
+
+def _dealt(rows: DataFrame, edges: int) -> DataFrame:
+    return rows.coalesce(max(1, -(-edges // TASK_EDGES))) if edges <= FEW else rows
+
+
+def _stars(pairs: DataFrame, edges: int) -> DataFrame:
     """Joins every neighbour ``v`` of ``u`` to the smallest of ``u`` and its neighbours.
 
     The minima are stored before the join, so both sides of it come from a shuffle and a hub can be split.
     """
-    least = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")))
-    return pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    return _dealt(pairs.join(cut_lineage(_dealt(least, edges)), "u"), edges)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,10 +39,11 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+        edges, n = _dealt(edges, state[0]), state[0]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-        small = _stars(cut_lineage(large))
-        own = small.select("u", F.col("least").alias("v"))
-        edges = cut_lineage(own.union(small.select(F.col("v").alias("u"), F.col("least").alias("v"))).where("u <> v").distinct())
+        large = _stars(both, n).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        small = _stars(cut_lineage(_dealt(large, n)), n)
+        ends = F.explode(F.array("u", "v")).alias("u")
+        edges = cut_lineage(_dealt(small.select(ends, F.col("least").alias("v")).where("u <> v").distinct(), n))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -229,7 +229,7 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 
 def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, options: NearDupOptions) -> DataFrame:
-    """Links between different components within the buckets, stored.
+    """Links (``a``, ``b``: components) between different components within the buckets, stored.
 
     A bucket that still holds several components is compared on full sets, in pairs of bounded blocks. The nodes of
     larger buckets are grouped anew by their rare shingles.
@@ -243,23 +243,27 @@ def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, options:
 
     keys = cut_lineage(still_open(rows))
     rows = rows.join(keys, "key")
-    large = cut_lineage(rows.where(F.col("blocks") > options.most_blocks).select("node", "component").distinct())
-    sizes = sets.select("node", F.expr("octet_length(items) div 8").alias("shingles"))
-    rare = cut_lineage(_by_rare_shingles(large, sets, options.percent).join(sizes, "node"))
-    rare = rare.join(cut_lineage(still_open(rare)), "key")
-    rows = rows.where(F.col("blocks") <= options.most_blocks).withColumn("rare", F.lit(False)).unionByName(rare.withColumn("rare", F.lit(True)))
+    small = rows.where(F.col("blocks") <= options.most_blocks).withColumn("rare", F.lit(False))
+    if keys.where(F.col("blocks") > options.most_blocks).isEmpty():
+        rows = small
+    else:
+        large = cut_lineage(rows.where(F.col("blocks") > options.most_blocks).select("node", "component").distinct())
+        sizes = sets.select("node", F.expr("octet_length(items) div 8").alias("shingles"))
+        rare = cut_lineage(_by_rare_shingles(large, sets, options.percent).join(sizes, "node"))
+        rare = rare.join(cut_lineage(still_open(rare)), "key")
+        rows = small.unionByName(rare.withColumn("rare", F.lit(True)))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sets, "node")
     groups = rows.groupBy("rare", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    lists = groups.agg(F.collect_list(F.struct("node", "component", "block", "items")).alias("rows")).where(F.size("rows") > 1)
+    lists = groups.agg(F.collect_list(F.struct("component", "block", "items")).alias("rows")).where(F.size("rows") > 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
             for across, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                node, component, block = (group.values.field(f).to_numpy() for f in range(3))
-                items = [np.frombuffer(x, np.uint64) for x in group.values.field(3).to_pylist()]
-                links += _forest(node, component, block, items, across, options.percent)
+                component, block = (group.values.field(f).to_numpy() for f in range(2))
+                items = [np.frombuffer(x, np.uint64) for x in group.values.field(2).to_pylist()]
+                links += _forest(component, component, block, items, across, options.percent)
             pairs = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -293,8 +297,11 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions = OPTIONS) -> DataF
     links = _confirmed(pivots.select("a", "b"), sets, options.percent)
     labels = cut_lineage(components(links))
     more = _open_links(members.drop("pivot"), labels, sets, options)
-    labels = components(links.union(more))
-    named = cut_lineage(classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if not more.isEmpty():  # what the first links left apart: only the components meet, not their nodes again
+        joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        named = named.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+    named = cut_lineage(named)
     ids = cut_lineage(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
     found = cut_lineage(named.join(ids, "component").select(*prints, "component_id", "component"))
     done = rows.select("doc_id", "n_shingles", "text_hash", "uid", *prints).join(found, prints, "left")
