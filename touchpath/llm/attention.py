@@ -131,19 +131,19 @@ def _longest(x: np.ndarray) -> float:
     return float(np.sqrt(np.einsum("ij,ij->i", flat_x, flat_x).max(initial=0)))
 
 
+def _times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One product over all windows."""
+    return (left.reshape(-1, left.shape[-1]) @ right).reshape(*left.shape[:-1], right.shape[1])
+
+
 def _attended(params: Params, inputs: np.ndarray, options: AttentionOptions) -> tuple:
     """What the scored places see: every step from the embedded inputs to the hidden state, the last of the tuple."""
     c, d, n = options.context, options.width, len(inputs)
-
-    def times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """One product over all windows."""
-        return (left.reshape(-1, left.shape[-1]) @ right).reshape(*left.shape[:-1], right.shape[1])
-
     x = params["embed"][inputs]
     x += params["place"]
     asked = np.ascontiguousarray(x[:, c:])
-    q = times(asked, params["query"] * np.float32(d**-0.5))
-    both = times(x, np.concatenate((params["key"], params["value"]), axis=1))
+    q = _times(asked, params["query"] * np.float32(d**-0.5))
+    both = _times(x, np.concatenate((params["key"], params["value"]), axis=1))
     k, v = both[..., :d], both[..., d:]
     s = q @ k.transpose(0, 2, 1)
     s[:, :, c:] += _causal(options)
@@ -153,12 +153,12 @@ def _attended(params: Params, inputs: np.ndarray, options: AttentionOptions) ->
     seen = a @ np.concatenate((v, np.ones((n, options.places, 1), v.dtype)), axis=2)  # the weights' total comes along
     total = np.maximum(seen[..., d:], np.float32(1e-30))
     z = seen[..., :d] / total
-    h = times(z, params["mix"])
+    h = _times(z, params["mix"])
     h += asked
-    r = times(h, params["up"])
+    r = _times(h, params["up"])
     r += params["shift"]
     np.maximum(r, 0, out=r)
-    y = times(r, params["down"])
+    y = _times(r, params["down"])
     y += h
     return x, asked, q, k, v, a, total, z, h, r, y
 
@@ -226,21 +226,22 @@ def gradient(params: Params, pairs: Pairs, inputs: np.ndarray, targets: np.ndarr
 
     scale = np.float32(options.width**-0.5)
     g["down"] = over(r, dy)
-    dr = (dy @ params["down"].T) * (r > 0)
+    dr = _times(dy, params["down"].T) * (r > 0)
     g["up"], g["shift"] = over(h, dr), dr.sum(axis=(0, 1))
-    dh = dy + dr @ params["up"].T
+    dh = dy + _times(dr, params["up"].T)
     g["mix"] = over(z, dh)
-    dz = dh @ params["mix"].T
+    dz = _times(dh, params["mix"].T)
     ds, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
     ds -= (dz * z).sum(axis=-1, keepdims=True)  # what the weights' sum of 1 takes back
     ds *= a
     dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
     g["query"], g["key"], g["value"] = over(asked, dq), over(x, dk), over(x, dv)
-    dx = dk @ params["key"].T + dv @ params["value"].T
-    dx[:, c:] += dh + dq @ params["query"].T
+    dx = _times(dk, params["key"].T) + _times(dv, params["value"].T)
+    dx[:, c:] += dh + _times(dq, params["query"].T)
     g["place"] = dx.sum(axis=0)
     g["embed"] = np.zeros_like(params["embed"])
-    np.add.at(g["embed"], inputs.ravel(), dx.reshape(-1, options.width))
+    cells = inputs.reshape(-1, 1).astype(np.intp) * options.width + np.arange(options.width)
+    np.add.at(g["embed"].reshape(-1), cells.ravel(), dx.reshape(-1))  # in one dimension many times faster
     return -float(logp.sum()) / float(n), g
 
 
