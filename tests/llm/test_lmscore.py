@@ -170,3 +170,70 @@ def test_attention_is_trained_on_every_window_of_every_training_text(spark, monk
     seen = np.concatenate([t[t >= 0] for t in targets])
     ids = np.concatenate([np.frombuffer(x, "<u2") for batch in table for x in batch.column(1).to_pylist()])
     assert len(table) and sorted(seen.tolist()) == sorted(ids.tolist())
+
+
+def test_a_word_is_looked_up_once_for_each_use():
+    """Encoding is bound by look-ups of words: each use costs one, a new word a few more."""
+    looked_up = []
+
+    class Word(bytes):
+        def __hash__(self) -> int:
+            looked_up.append(self)
+            return bytes.__hash__(self)
+
+    texts = [[Word(b"w%d" % (i * k % 7)) for k in range(200)] for i in range(10)]
+    plain = [[bytes(w) for w in text] for text in texts]
+    looked_up.clear()
+    assert lmscore.Subwords().ids(texts) == lmscore.Subwords().ids(plain)
+    assert len(looked_up) <= 2000 + 50
+
+
+def test_base_and_ids_where_words_are_forgotten(spark, monkeypatch):
+    """Portions that end early and words forgotten between them change nothing; a portion holds its words once."""
+    monkeypatch.setattr(lmscore, "HOT", 64)
+    monkeypatch.setattr(lmscore, "HELD_WORDS", 30)
+    monkeypatch.setattr(lmscore, "KEPT_WORDS", 40)
+    rng = random.Random(4)
+    rows = [(i, f"{words(rng, 0, 60)} n{rng.randrange(90)} N{rng.randrange(90)}" if i % 11 else None) for i in range(1200)]
+    docs, training = documents(spark, rows).coalesce(1), F.col("doc_id") % 7 != 2
+    counts = Counter(w for d, t in rows for w in tokens(t))
+    hot = {w.encode(): float(c) for w, c in counts.items() if c > 100 or not w}
+    encoded = lmscore._encoded(docs, training, hot).collect()
+    found, plain = {}, lmscore.Subwords()
+    for end in (r for r in encoded if r.place == -1):
+        assert len(set(end.words)) == len(end.words) and not hot.keys() & {w.encode() for w in end.words}
+        ends, used = np.cumsum(end.sizes), np.frombuffer(end.uses, "<i4")
+        found |= {(end.portion, i): [end.words[k] for k in used[hi - n : hi]] for i, (n, hi) in enumerate(zip(end.sizes, ends, strict=True))}
+    texts = dict(rows)
+    assert len({r.portion for r in encoded}) > 1 and sorted(r.doc_id for r in encoded if r.place >= 0) == sorted(texts)
+    for r in (r for r in encoded if r.place >= 0):
+        own = tokens(texts[r.doc_id])
+        assert found[r.portion, r.place] == [w for w in own[:-1] if w.encode() not in hot]
+        common = [hot[w.encode()] for w in own if w.encode() in hot]
+        assert (r.n_tokens, r.known, r.total) == (len(own), len(common), sum(common))
+        assert bytes(r.ids) == plain.ids([[w.encode() for w in own[:-1]]])[0]
+    want = base(rows, lambda d: d % 7 == 2)
+    for r in lmscore.language_scores(docs, training).collect():
+        n_tokens, n_known, n, score = want[r.doc_id, texts[r.doc_id]]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, n) and r.base_score == pytest.approx(score)
+
+
+def test_rounds_of_a_batch_are_those_of_its_texts():
+    ids, counts = [5, None, 5, -3, 2**40], np.array([3, 0, 40, 7, 1])
+    whole = lmscore._rounds(ids, counts, attention.OPTIONS)
+    assert np.array_equal(whole, np.concatenate([lmscore._rounds([d], np.array([n]), attention.OPTIONS) for d, n in zip(ids, counts, strict=True)]))
+    assert set(whole.tolist()) == set(range(attention.OPTIONS.rounds))
+
+
+@pytest.mark.parametrize("scale", [1.0, 10.0])
+def test_large_weights_are_scored_as_by_loops(scale):
+    """Weights that exponentials could not hold, and the bound that tells so."""
+    classes, ends, pairs, params = model_of(7, n=40)
+    params |= {k: params[k] * scale for k in ("query", "key")}
+    rng = np.random.default_rng(2)
+    q, k = rng.normal(size=(3, 5, 6)) * scale, rng.normal(size=(3, 7, 6)) * scale
+    assert (q @ k.transpose(0, 2, 1)).max() <= attention._most(q, k)
+    for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+        text = classes[lo:hi]
+        logp = naive(params, pairs, text, SMALL)[np.arange(len(text)), text]
+        assert np.allclose(attention.class_scores(params, pairs, text, np.array([len(text)]), SMALL), logp, atol=1e-4)

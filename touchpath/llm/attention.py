@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -79,14 +80,19 @@ def flat(params: Params) -> np.ndarray:
     return np.concatenate([params[k].ravel() for k in sorted(params)])
 
 
-def shaped(values: np.ndarray, like: Params) -> Params:
+def views(values: np.ndarray, like: Params) -> Params:
+    """Parameters shaped as in ``like`` that lie in ``values`` one after the other, as ``flat`` puts them."""
     params, at = {}, 0
     for k in sorted(like):
-        params[k] = values[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        params[k] = values[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return params
 
 
+def shaped(values: np.ndarray, like: Params) -> Params:
+    return views(values.astype(np.float32), like)
+
+
 def window_counts(ends: np.ndarray, options: AttentionOptions = OPTIONS) -> np.ndarray:
     """Windows of each text."""
     return -(-np.diff(ends, prepend=0) // options.stride)
@@ -109,14 +115,22 @@ def windows(classes: np.ndarray, ends: np.ndarray, options: AttentionOptions = O
     at = first[:, None] + np.arange(-options.context, options.stride)
     inside = (at >= starts[text][:, None]) & (at < ends[text][:, None])
     before = np.concatenate((classes[-1:], classes[:-1]))  # the class before a text's start is the end token's
-    inputs = np.where(inside, before[np.where(inside, at, 0)], options.classes).astype(np.int16)
+    inputs = np.where(inside, before[np.where(inside, at, 0)], options.classes).astype(np.int16, copy=False)
     scored = np.where(inside, at, -1)[:, options.context :]
     return inputs, scored, text
 
 
+@lru_cache(maxsize=8)
 def _causal(options: AttentionOptions) -> np.ndarray:
-    place = np.arange(options.stride)
-    return np.where(place <= place[:, None], 0, -1e9).astype(np.float32)
+    """What is added to the weight of a place (column) for a scored place (row)."""
+    place = np.arange(-options.context, options.stride)
+    return np.where(place <= place[options.context :, None], 0, -1e9).astype(np.float32)
+
+
+@lru_cache(maxsize=8)
+def _cells(options: AttentionOptions) -> np.ndarray:
+    """Where the components of each class's embedding lie in one dimension."""
+    return np.arange((options.classes + 1) * options.width).reshape(-1, options.width)
 
 
 def _exponentials(x: np.ndarray, most: float) -> np.ndarray:
@@ -131,6 +145,16 @@ def _longest(x: np.ndarray) -> float:
     return float(np.sqrt(np.einsum("ij,ij->i", flat_x, flat_x).max(initial=0)))
 
 
+def _largest(x: np.ndarray) -> float:
+    return max(float(x.max(initial=0)), -float(x.min(initial=0)))
+
+
+def _most(q: np.ndarray, k: np.ndarray) -> float:
+    """What no product of a row of ``q`` and one of ``k`` exceeds; lengths of rows are only taken where components do not tell."""
+    most = _largest(q) * _largest(k) * q.shape[-1]
+    return most if most <= 60 else _longest(q) * _longest(k)
+
+
 def _times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """One product over all windows."""
     return (left.reshape(-1, left.shape[-1]) @ right).reshape(*left.shape[:-1], right.shape[1])
@@ -139,17 +163,17 @@ def _times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _attended(params: Params, inputs: np.ndarray, options: AttentionOptions) -> tuple:
     """What the scored places see: every step from the embedded inputs to the hidden state, the last of the tuple."""
     c, d, n = options.context, options.width, len(inputs)
-    x = params["embed"][inputs]
+    x = params["embed"].take(inputs, axis=0)
     x += params["place"]
     asked = np.ascontiguousarray(x[:, c:])
     q = _times(asked, params["query"] * np.float32(d**-0.5))
     both = _times(x, np.concatenate((params["key"], params["value"]), axis=1))
     k, v = both[..., :d], both[..., d:]
     s = q @ k.transpose(0, 2, 1)
-    s[:, :, c:] += _causal(options)
+    s += _causal(options)
     first = np.flatnonzero(inputs[:, 0] == options.classes)  # windows with places before the text's start
     s[first] += np.where(inputs[first] == options.classes, np.float32(-1e9), np.float32(0))[:, None, :]
-    a = _exponentials(s, _longest(q) * _longest(k))
+    a = _exponentials(s, _most(q, k))
     seen = a @ np.concatenate((v, np.ones((n, options.places, 1), v.dtype)), axis=2)  # the weights' total comes along
     total = np.maximum(seen[..., d:], np.float32(1e-30))
     z = seen[..., :d] / total
@@ -160,7 +184,7 @@ def _attended(params: Params, inputs: np.ndarray, options: AttentionOptions) ->
     np.maximum(r, 0, out=r)
     y = _times(r, params["down"])
     y += h
-    return x, asked, q, k, v, a, total, z, h, r, y
+    return x, asked, q, both, a, total, z, h, r, y
 
 
 def _by_group(targets: np.ndarray, options: AttentionOptions) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -182,83 +206,94 @@ def _chances(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own - np.log(total[:, 0]), p, total
 
 
-def _predicted(params: Params, pairs: Pairs, y: np.ndarray, before: np.ndarray, targets: np.ndarray, options: AttentionOptions) -> tuple:
-    """Log probabilities of ``targets``, the order by group, and of both steps exponentials and totals in that order."""
+def _predicted(params: Params, pairs: Pairs, y: np.ndarray, inputs: np.ndarray, places: np.ndarray, targets: np.ndarray, options: AttentionOptions) -> tuple:
+    """Log probabilities of ``targets`` at ``places`` of the windows' scored ones, in order of groups: with them the order, of
+    each target in it the place, the row of ``y``, group and member, the groups' parts, and of both steps exponentials and totals."""
     order, groups, parts = _by_group(targets, options)
-    y, before, targets, groups = y[order], before[order], targets[order], groups[order]
-    in_group = pairs.member[before, groups]
+    places, groups = places[order], groups[order]
+    members = targets[order] - groups * options.members
+    y = y.reshape(-1, options.width).take(places, axis=0)
+    before = np.ascontiguousarray(inputs[:, options.context :]).reshape(-1).take(places).astype(np.intp)
+    in_group = pairs.member.reshape(-1, options.members).take(before * options.groups + groups, axis=0)
     for g, lo, hi in parts:
         in_group[lo:hi] += y[lo:hi] @ params["member"][g]
     logits = y @ params["group"]
-    logits += pairs.group[before]
+    logits += pairs.group.take(before, axis=0)
     logp, *p_group = _chances(logits, groups)
-    more, *p_member = _chances(in_group, targets - groups * options.members)
-    return logp + more, order, parts, p_group, p_member
+    more, *p_member = _chances(in_group, members)
+    return logp + more, (order, places, y, groups, members), parts, p_group, p_member
 
 
 def gradient(params: Params, pairs: Pairs, inputs: np.ndarray, targets: np.ndarray, options: AttentionOptions = OPTIONS) -> tuple[float, Params]:
     """Mean loss over the scored places (``targets`` >= 0) and its gradient."""
     c = options.context
-    x, asked, q, k, v, a, total, z, h, r, y = _attended(params, inputs, options)
+    x, asked, q, both, a, total, z, h, r, y = _attended(params, inputs, options)
+    k, v = both[..., : options.width], both[..., options.width :]
     a /= total
-    known = targets >= 0
-    at = targets[known].astype(np.int64)
-    logp, order, parts, *steps = _predicted(params, pairs, y[known], inputs[:, c:][known], at, options)
-    dg, dm = (p / sums for p, sums in steps)
-    n = np.float32(max(1, len(at)))
-    flat_y, rows, at = y[known][order], np.arange(len(at)), at[order]
-    dg[rows, at // options.members] -= 1
-    dm[rows, at % options.members] -= 1
-    dg /= n
-    dm /= n
+    at = np.flatnonzero(targets >= 0)
+    logp, (_, at, flat_y, groups, members), parts, *steps = _predicted(params, pairs, y, inputs, at, targets.reshape(-1).take(at).astype(np.int64), options)
+    n, rows = np.float32(max(1, len(at))), np.arange(len(at))
+    for (p, sums), own in zip(steps, (groups, members), strict=True):
+        p /= sums
+        p.reshape(-1)[rows * p.shape[1] + own] -= 1
+        p /= n
+    dg, dm = (p for p, _ in steps)
     g = {"group": flat_y.T @ dg, "member": np.zeros_like(params["member"])}
     dflat = dg @ params["group"].T
     for group, lo, hi in parts:
         g["member"][group] = flat_y[lo:hi].T @ dm[lo:hi]
         dflat[lo:hi] += dm[lo:hi] @ params["member"][group].T
-    back = np.empty_like(dflat)
-    back[order] = dflat
     dy = np.zeros_like(y)
-    dy[known] = back
+    dy.reshape(-1, options.width)[at] = dflat
 
     def over(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
 
     scale = np.float32(options.width**-0.5)
     g["down"] = over(r, dy)
-    dr = _times(dy, params["down"].T) * (r > 0)
+    dr = _times(dy, params["down"].T)
+    dr *= r > 0
     g["up"], g["shift"] = over(h, dr), dr.sum(axis=(0, 1))
-    dh = dy + _times(dr, params["up"].T)
+    dh = _times(dr, params["up"].T)
+    dh += dy
     g["mix"] = over(z, dh)
     dz = _times(dh, params["mix"].T)
-    ds, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
+    ds = dz @ v.transpose(0, 2, 1)
+    back = np.empty_like(both)  # of keys and values, beside each other
+    dk, dv = back[..., : options.width], back[..., options.width :]
+    np.matmul(a.transpose(0, 2, 1), dz, out=dv)
     ds -= (dz * z).sum(axis=-1, keepdims=True)  # what the weights' sum of 1 takes back
     ds *= a
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    g["query"], g["key"], g["value"] = over(asked, dq), over(x, dk), over(x, dv)
-    dx = _times(dk, params["key"].T) + _times(dv, params["value"].T)
-    dx[:, c:] += dh + _times(dq, params["query"].T)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+    dq = ds @ k
+    dq *= scale
+    g["query"] = over(asked, dq)
+    g["key"], g["value"] = np.split(over(x, back), 2, axis=1)
+    dx = _times(dk, params["key"].T)
+    dx += _times(dv, params["value"].T)
+    dh += _times(dq, params["query"].T)
+    dx[:, c:] += dh
     g["place"] = dx.sum(axis=0)
     g["embed"] = np.zeros_like(params["embed"])
-    cells = inputs.reshape(-1, 1).astype(np.intp) * options.width + np.arange(options.width)
+    cells = _cells(options).take(inputs.reshape(-1), axis=0)
     np.add.at(g["embed"].reshape(-1), cells.ravel(), dx.reshape(-1))  # in one dimension many times faster
     return -float(logp.sum()) / float(n), g
 
 
 def train_locally(params: Params, pairs: Pairs, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float, options: AttentionOptions = OPTIONS) -> tuple[Params, int]:
     """Adam over ``batches`` of (inputs, targets) from ``params`` on; the new parameters and the windows seen."""
-    params = {k: v.copy() for k, v in params.items()}
-    mean, square = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
+    values = flat(params)
+    params = views(values, params)
+    mean, square = np.zeros_like(values), np.zeros_like(values)
     seen = step = 0
     for inputs, targets in batches:
         _, g = gradient(params, pairs, inputs, targets, options)
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         step += 1
-        for name, x in g.items():
-            x = x * min(1.0, 1.0 / max(size, 1e-9))
-            mean[name] += 0.1 * (x - mean[name])
-            square[name] += 0.01 * (x * x - square[name])
-            params[name] -= np.float32(rate) * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
+        x = flat(g) * min(1.0, 1.0 / max(size, 1e-9))
+        mean += 0.1 * (x - mean)
+        square += 0.01 * (x * x - square)
+        values -= np.float32(rate) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
         seen += len(inputs)
     return params, seen
 
@@ -269,9 +304,9 @@ def class_scores(params: Params, pairs: Pairs, classes: np.ndarray, ends: np.nda
     inputs, scored, _ = windows(classes, ends, options)
     for at in range(0, len(inputs), options.scored_windows):
         part, seen = scored[at : at + options.scored_windows], inputs[at : at + options.scored_windows]
-        known = part >= 0
-        place = part[known]
-        y = _attended(params, seen, options)[-1][known]
-        logp, order, *_ = _predicted(params, pairs, y, seen[:, options.context :][known], classes[place], options)
+        at_once = np.flatnonzero(part >= 0)
+        place = part.reshape(-1).take(at_once)
+        y = _attended(params, seen, options)[-1]
+        logp, (order, *_), *_ = _predicted(params, pairs, y, seen, at_once, classes[place], options)
         out[place[order]] = logp
     return out

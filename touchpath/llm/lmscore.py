@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,12 @@ from touchpath.session import cut_lineage, stored
 #: Closes every text; the vocabulary's special token, which no text encodes to.
 END_ID = 50_256
 VOCABULARY = 50_257
-_END = END_ID.to_bytes(2, "little")
-#: Words whose ids a task remembers.
+#: Words of which a task that remembers more forgets them all, between portions.
 KEPT_WORDS = 300_000
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 200_000
+#: Words of texts whose ids are put together at a time.
+SPELLED_WORDS = 262_144
 #: A word with a share of at least 1/HOT of all tokens is looked up in every task; there are at most HOT of them.
 HOT = 131_072
 #: Training windows that a task cuts from its texts at a time.
@@ -51,11 +52,27 @@ class TokenClasses:
     within: np.ndarray
 
 
+class Numbers:
+    """Numbers of words from 0 on, by their first use."""
+
+    def __init__(self) -> None:
+        self.of: defaultdict[bytes, int] = defaultdict(count().__next__)
+
+    def __len__(self) -> int:
+        return len(self.of)
+
+    def of_words(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of every word of ``texts``, in turn, and the words that are new."""
+        known = len(self.of)
+        numbers = np.fromiter(map(self.of.__getitem__, chain.from_iterable(texts)), np.int32, sum(map(len, texts)))
+        return numbers, list(islice(reversed(self.of), len(self.of) - known))[::-1]
+
+
 class Subwords:
     """Subword ids of words; ``vocabulary`` names a file of ranks, None takes the installed multilingual 50k one.
 
     Every word is a piece with the space before it, whatever characters it holds, so its ids do not depend on its
-    neighbours: the words that are new in a batch are encoded together, once, and up to ``KEPT_WORDS`` are remembered.
+    neighbours: the words that are new in a batch are encoded together, once, and remembered until ``forget``.
     """
 
     def __init__(self, vocabulary: str | None = None) -> None:
@@ -67,18 +84,42 @@ class Subwords:
         self.encoding = tiktoken.Encoding("own", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
         self.opens = np.zeros(VOCABULARY, dtype=bool)
         self.opens[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Remember no word; the end is number 0, as the empty word."""
+        self.known = Numbers()
+        self.known.of_words([[b""]])
+        self.pool, self.starts, self.lengths = np.array([END_ID], "<u2"), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def numbered(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of every word of ``texts`` and, after each text, of its end; and the words that are new, in order."""
+        numbers, new = self.known.of_words([*map(_closed, texts)])
+        if new:
+            ids = self.encoding.encode_to_numpy(b" ".join([b"", *new]).decode(), disallowed_special=())
+            first = np.flatnonzero(self.opens[ids])  # an id that starts with a space starts a word
+            self.starts = np.concatenate((self.starts, len(self.pool) + first))
+            self.lengths = np.concatenate((self.lengths, np.diff(first, append=len(ids))))
+            self.pool = np.concatenate((self.pool, ids.astype("<u2")))
+        return numbers, new
+
+    def spelled(self, numbers: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Ids (little-endian unsigned 16-bit) of texts, given as ``numbers`` of their words, of which each has ``sizes``."""
+        parts = []
+        for at in range(0, len(numbers), SPELLED_WORDS):
+            part = numbers[at : at + SPELLED_WORDS]
+            lengths = self.lengths[part]
+            ends = np.cumsum(lengths)
+            parts.append(self.pool[np.arange(ends[-1]) + np.repeat(self.starts[part] - ends + lengths, lengths)].tobytes())
+        data = b"".join(parts)
+        cuts = 2 * np.cumsum(np.add.reduceat(self.lengths[numbers], np.cumsum(sizes) - sizes))
+        return [data[lo:hi] for lo, hi in pairwise([0, *cuts.tolist()])]
 
     def ids(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Ids (little-endian unsigned 16-bit) of each text's words, closed by ``END_ID``."""
+        """Ids of each text's words, closed by ``END_ID``."""
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
-        ids = self.encoding.encode_to_numpy(b" ".join([b"", *new]).decode(), disallowed_special=()) if new else np.empty(0, np.uint32)
-        first = 2 * np.flatnonzero(self.opens[ids])  # an id that starts with a space starts a word
-        data = ids.astype("<u2").tobytes()
-        self.known.update(zip(new, (data[a:b] for a, b in pairwise([*first.tolist(), len(data)])), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) + _END for words in texts]
+            self.forget()
+        return self.spelled(self.numbered(texts)[0], np.array([len(words) + 1 for words in texts], np.int64)) if texts else []
 
 
 @dataclass(frozen=True)
@@ -100,27 +141,31 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _closed(words: list[bytes]) -> list[bytes]:
+    """``words`` and the end, the empty word."""
+    return [*words, b""]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word``, ``c`` over the texts of ``docs`` (``text``); the end of a text is the empty word."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, uses = Numbers(), np.zeros(0, np.int64)
 
-        def counted() -> pa.RecordBatch:
-            words = pa.array(list(found), pa.binary()).cast(pa.string())
-            batch = pa.RecordBatch.from_arrays([words, pa.array(list(found.values()), pa.int64())], ["word", "c"])
-            found.clear()
-            return batch
+        def result() -> pa.RecordBatch:
+            words = pa.array(list(found.of), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array(uses)], ["word", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(_words(text))
-                found[b""] += 1
+            numbers, new = found.of_words([_closed(_words(text)) for text in batch.column(0).to_pylist()])
+            uses = np.concatenate((uses, np.zeros(len(new), np.int64)))
+            uses += np.bincount(numbers, minlength=len(uses))
             if len(found) > HELD_WORDS:
-                yield counted()
-        yield counted()
+                yield result()
+                found, uses = Numbers(), np.zeros(0, np.int64)
+        yield result()
 
-    parts = text_batches(docs.select("text")).mapInArrow(count, "word string, c long")
+    parts = text_batches(docs.select("text")).mapInArrow(counted, "word string, c long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -134,35 +179,53 @@ def _encoded(docs: DataFrame, training: Column, hot: dict[bytes, float]) -> Data
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, common = Subwords(), shared.value
-        portion, rare, uses, sizes = TaskContext.get().partitionId() << 32, {}, [], []
+        portion, words, uses, sizes, spellings = TaskContext.get().partitionId() << 32, [], [], [], [b""]
+
+        def values_of(new: list[bytes]) -> np.ndarray:
+            """The hot words' part of the base by number, -1 for the others."""
+            return np.fromiter((common.get(w, -1.0) for w in new), np.float64, len(new))
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        def batch_of(columns: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         def closed() -> pa.RecordBatch:
-            words = [w.decode() for w in rare]
             used = np.concatenate([np.empty(0, "<i4"), *uses]).astype("<i4").tobytes()
-            return batch_of([(portion, -1, *[None] * 6, words, used, list(sizes))])
+            return batch_of([[portion], [-1], *[[None]] * 6, [[w.decode() for w in words]], [used], [np.concatenate(sizes)]])
 
+        value = values_of(spellings)
+        place = np.full(1, -1, "<i4")  # of a number among the portion's other words
         for batch in batches:
-            doc_ids, texts, trains = (c.to_pylist() for c in batch.columns)
-            texts = [_words(text) for text in texts]
-            rows = []
-            for doc_id, trained, words, ids in zip(doc_ids, trains, texts, subwords.ids(texts), strict=True):
-                found = [x for x in map(common.get, words) if x is not None]
-                found += [common[b""]] if b"" in common else []
-                others = [w for w in words if w not in common]
-                uses.append(np.fromiter((rare.setdefault(w, len(rare)) for w in others), "<i4", len(others)))
-                rows.append((portion, len(sizes), doc_id, trained, len(words) + 1, len(found), sum(found), ids, None, None, None))
-                sizes.append(len(others))
-            yield batch_of(rows)
-            if len(rare) >= HELD_WORDS:
+            if not len(batch):
+                continue
+            texts = [_words(text) for text in batch.column(1).to_pylist()]
+            n = np.array([len(text) + 1 for text in texts], np.int64)
+            numbers, new = subwords.numbered(texts)
+            spellings += new
+            value = np.concatenate((value, values_of(new)))
+            place = np.concatenate((place, np.full(len(new), -1, "<i4")))
+            owner, part = np.repeat(np.arange(len(n), dtype=np.int32), n), value[numbers]
+            is_hot, is_other = part >= 0, (part < 0) & (numbers > 0)
+            known = np.bincount(owner[is_hot], minlength=len(n))
+            total = np.bincount(owner[is_hot], part[is_hot], len(n))
+            others = numbers[is_other]
+            first = np.unique(others[place[others] < 0])
+            place[first] = np.arange(len(words), len(words) + len(first))
+            words += map(spellings.__getitem__, first.tolist())
+            uses.append(place[others])
+            at = sum(map(len, sizes))
+            sizes.append(np.bincount(owner[is_other], minlength=len(n)).astype(np.int32))
+            nothing = [None] * len(n)
+            ids = subwords.spelled(numbers, n)
+            yield batch_of([np.full(len(n), portion), np.arange(at, at + len(n), dtype=np.int32), batch.column(0), batch.column(2), n, known, total, ids, nothing, nothing, nothing])
+            if len(words) >= HELD_WORDS:
                 yield closed()
                 portion += 1
-                rare.clear()
-                uses.clear()
-                sizes.clear()
+                words, uses, sizes = [], [], []
+                place[:] = -1
+                if len(spellings) > KEPT_WORDS:
+                    subwords.forget()
+                    spellings = [b""]
+                    value, place = value[:1], place[:1]
         if sizes:
             yield closed()
 
@@ -236,13 +299,14 @@ def token_classes(counts: np.ndarray, options: AttentionOptions) -> TokenClasses
     tail = np.cumsum(weight[shared])
     of[shared] = len(single) + np.minimum((tail - weight[shared]) / tail[-1] * (options.classes - len(single)), options.classes - len(single) - 1).astype(np.int64)
     total = np.bincount(of, weight, minlength=options.classes)
-    return TokenClasses(of, np.log(weight / total[of]))
+    return TokenClasses(of.astype(np.int16 if options.classes < 1 << 15 else np.int64), np.log(weight / total[of]))
 
 
-def _rounds(doc_id: int | None, n: int, options: AttentionOptions) -> np.ndarray:
-    """Round of each of a text's ``n`` windows, by hash, so the same in every run; -1 for none, where ``every`` is not 1."""
-    seed = np.uint64(zlib.crc32(b"" if doc_id is None else str(doc_id).encode()))
-    x = (np.arange(n, dtype=np.uint64) + (seed << np.uint64(24))) * np.uint64(0x9E3779B97F4A7C15)
+def _rounds(doc_ids: list[int | None], counts: np.ndarray, options: AttentionOptions) -> np.ndarray:
+    """Round of each window of texts that have ``counts``, by hash, so the same in every run; -1 for none, where ``every`` is not 1."""
+    seeds = np.array([zlib.crc32(b"" if d is None else str(d).encode()) for d in doc_ids], np.uint64)
+    x = np.arange(counts.sum(), dtype=np.uint64) + np.repeat((seeds << np.uint64(24)) - (np.cumsum(counts) - counts).astype(np.uint64), counts)
+    x *= np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     return np.where(x % np.uint64(options.every) == 0, (x // np.uint64(options.every)) % np.uint64(options.rounds), -1).astype(np.int64)
@@ -255,7 +319,7 @@ def _pair_counts(encoded: DataFrame, classes: TokenClasses, options: AttentionOp
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(size * size, dtype=np.int64)
         for batch in batches:
-            of = classes.of[np.concatenate([np.zeros(0, np.uint16), *_texts(batch.column(0))])]
+            of = classes.of[np.concatenate([np.zeros(0, np.uint16), *_texts(batch.column(0))])].astype(np.int64)
             pairs += np.bincount(np.concatenate((of[-1:], of[:-1])) * size + of, minlength=size * size)
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(pairs[at])], ["code", "n"])
@@ -268,12 +332,11 @@ def _pair_counts(encoded: DataFrame, classes: TokenClasses, options: AttentionOp
 
 def _windows_of(batch: pa.RecordBatch, number: int, classes: TokenClasses, options: AttentionOptions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Inputs and targets of the windows that round ``number`` takes of the texts of ``batch``, ``HELD_WINDOWS`` at a time, mixed."""
-    texts = [classes.of[ids] for ids in _texts(batch.column(1))]
+    texts = _texts(batch.column(1))
     if not texts:
         return
-    of, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
-    counts = attention.window_counts(ends, options).tolist()
-    rounds = np.concatenate([_rounds(d, n, options) for d, n in zip(batch.column(0).to_pylist(), counts, strict=True)])
+    of, ends = classes.of[np.concatenate(texts)], np.cumsum([len(t) for t in texts])
+    rounds = _rounds(batch.column(0).to_pylist(), attention.window_counts(ends, options), options)
     chosen = np.random.default_rng(number).permutation(np.flatnonzero(rounds == number))
     for at in range(0, len(chosen), HELD_WINDOWS):
         inputs, scored, _ = attention.windows(of, ends, options, chosen[at : at + HELD_WINDOWS])
@@ -287,7 +350,7 @@ def _trained(encoded: DataFrame, classes: TokenClasses, pairs: Pairs, options: A
     def round_of(number: int, params: Params) -> np.ndarray:
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                inputs, targets = np.zeros((0, options.places), np.int16), np.zeros((0, options.stride), np.int64)
+                inputs, targets = np.zeros((0, options.places), np.int16), np.zeros((0, options.stride), classes.of.dtype)
                 for batch in batches:
                     for more in _windows_of(batch, number, classes, options):
                         inputs, targets = (np.concatenate(x) for x in zip((inputs, targets), more, strict=True))
