@@ -12,11 +12,12 @@ What reaches the driver is bounded: ids of the vocabulary, pairs of classes, par
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, count, islice, pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +57,17 @@ class Numbers:
     """Numbers of words from 0 on, by their first use."""
 
     def __init__(self) -> None:
-        self.of: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.of: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
 
     def __len__(self) -> int:
         return len(self.of)
 
-    def of_words(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
-        """The number of every word of ``texts``, in turn, and the words that are new."""
-        known = len(self.of)
-        numbers = np.fromiter(map(self.of.__getitem__, chain.from_iterable(texts)), np.int32, sum(map(len, texts)))
-        return numbers, list(islice(reversed(self.of), len(self.of) - known))[::-1]
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.of.__getitem__, words), np.int32, len(words))
+
+    def since(self, known: int) -> list[bytes]:
+        """The words with numbers of ``known`` and more."""
+        return list(islice(reversed(self.of), len(self.of) - known))[::-1]
 
 
 class Subwords:
@@ -89,19 +91,24 @@ class Subwords:
     def forget(self) -> None:
         """Remember no word; the end is number 0, as the empty word."""
         self.known = Numbers()
-        self.known.of_words([[b""]])
+        self.known.of_words([b""])
         self.pool, self.starts, self.lengths = np.array([END_ID], "<u2"), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def numbered(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
-        """The number of every word of ``texts`` and, after each text, of its end; and the words that are new, in order."""
-        numbers, new = self.known.of_words([*map(_closed, texts)])
-        if new:
+    def numbered(self, texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The number of every word of ``texts`` and, after each text, of its end; how many each text has; and the new words.
+
+        A text's words are looked up as it comes, while they are in the processor's cache.
+        """
+        known = len(self.known)
+        found = [self.known.of_words([*words, b""]) for words in texts]
+        numbers, sizes = np.concatenate(found), np.array([*map(len, found)], np.int64)
+        if new := self.known.since(known):
             ids = self.encoding.encode_to_numpy(b" ".join([b"", *new]).decode(), disallowed_special=())
             first = np.flatnonzero(self.opens[ids])  # an id that starts with a space starts a word
             self.starts = np.concatenate((self.starts, len(self.pool) + first))
             self.lengths = np.concatenate((self.lengths, np.diff(first, append=len(ids))))
             self.pool = np.concatenate((self.pool, ids.astype("<u2")))
-        return numbers, new
+        return numbers, sizes, new
 
     def spelled(self, numbers: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Ids (little-endian unsigned 16-bit) of texts, given as ``numbers`` of their words, of which each has ``sizes``."""
@@ -119,7 +126,7 @@ class Subwords:
         """Ids of each text's words, closed by ``END_ID``."""
         if len(self.known) > KEPT_WORDS:
             self.forget()
-        return self.spelled(self.numbered(texts)[0], np.array([len(words) + 1 for words in texts], np.int64)) if texts else []
+        return self.spelled(*self.numbered(texts)[:2]) if texts else []
 
 
 @dataclass(frozen=True)
@@ -141,31 +148,27 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _closed(words: list[bytes]) -> list[bytes]:
-    """``words`` and the end, the empty word."""
-    return [*words, b""]
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word``, ``c`` over the texts of ``docs`` (``text``); the end of a text is the empty word."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, uses = Numbers(), np.zeros(0, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
 
-        def result() -> pa.RecordBatch:
-            words = pa.array(list(found.of), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(uses)], ["word", "c"])
+        def counted() -> pa.RecordBatch:
+            words = pa.array(list(found), pa.binary()).cast(pa.string())
+            batch = pa.RecordBatch.from_arrays([words, pa.array(list(found.values()), pa.int64())], ["word", "c"])
+            found.clear()
+            return batch
 
         for batch in batches:
-            numbers, new = found.of_words([_closed(_words(text)) for text in batch.column(0).to_pylist()])
-            uses = np.concatenate((uses, np.zeros(len(new), np.int64)))
-            uses += np.bincount(numbers, minlength=len(uses))
+            for text in batch.column(0).to_pylist():
+                found.update(_words(text))
+                found[b""] += 1
             if len(found) > HELD_WORDS:
-                yield result()
-                found, uses = Numbers(), np.zeros(0, np.int64)
-        yield result()
+                yield counted()
+        yield counted()
 
-    parts = text_batches(docs.select("text")).mapInArrow(counted, "word string, c long")
+    parts = text_batches(docs.select("text")).mapInArrow(count, "word string, c long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -197,9 +200,7 @@ def _encoded(docs: DataFrame, training: Column, hot: dict[bytes, float]) -> Data
         for batch in batches:
             if not len(batch):
                 continue
-            texts = [_words(text) for text in batch.column(1).to_pylist()]
-            n = np.array([len(text) + 1 for text in texts], np.int64)
-            numbers, new = subwords.numbered(texts)
+            numbers, n, new = subwords.numbered(map(_words, batch.column(1).to_pylist()))
             spellings += new
             value = np.concatenate((value, values_of(new)))
             place = np.concatenate((place, np.full(len(new), -1, "<i4")))
